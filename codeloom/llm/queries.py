@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import exact_dedup, mixing, sharding
+from codeloom.llm import bpe, exact_dedup, mixing, sharding
 from codeloom.llm.common import table
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
 MIX_UNITS = {"src0": 20, **{f"src{i}": 9 for i in range(1, 20)}, mixing.OTHER: 9}
 MIX_BLOCK_ROWS = 8
+#: The vocabulary file of the encoder, by its name in the tokenizer package.
+BPE_FILE = "word_bpe_49k.json"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +29,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_UNITS, MIX_BLOCK_ROWS)
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Of each document: the number of its tokens, and digests of its ids and of what they decode to."""
+    import public_tokenizers
+
+    coded = bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op6_mixing": op6_mixing,
+    "op9_bpe": op9_bpe,
 }
 
 _OP1 = """
