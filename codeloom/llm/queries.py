@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, mixing, sharding
+from codeloom.llm import bpe, exact_dedup, mixing, ngram_join, sharding
 from codeloom.llm.common import table
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
@@ -29,6 +29,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_UNITS, MIX_BLOCK_ROWS)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Of each document: the number of its tokens, and digests of its ids and of what they decode to."""
     import public_tokenizers
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op6_mixing": op6_mixing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_bpe": op9_bpe,
 }
 
