@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import text_or_empty
+from codeloom.llm.common import ship, text_or_empty
 
 _NONE = np.int64(2**31 - 1)
 #: Separators for str.split() that the vocabulary's pattern for white space does not know.
@@ -243,5 +243,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in coded], pa.binary()), pa.array([b for _, b in coded], pa.string())], ["id", "ids", "decoded"])
                 at = to
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)

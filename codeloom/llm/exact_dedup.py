@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, partitions, text_or_empty
+from codeloom.llm.common import materialize, partitions, ship, text_or_empty
 
 #: Low bits of a fingerprint that are stored as its remainder; the bits above are its quotient.
 REMAINDER_BITS = 40
@@ -109,6 +109,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows; other columns are neither read nor returned.
     ``fingerprint_bits`` may be lowered, to provoke collisions; the result is the same.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("fp", F.shiftrightunsigned(F.xxhash64("text"), 64 - fingerprint_bits))
     repeated = materialize(suspects(rows).select("fp"), "dedup-suspects")

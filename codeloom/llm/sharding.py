@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, text_or_empty
+from codeloom.llm.common import materialize, ship, text_or_empty
 
 _LOWEST = -(2**63)
 
@@ -113,6 +113,7 @@ def assign_shards(
     from 0 without gaps. Null ids sort first; repeated rows get a slot each. An empty table gives
     no rows. The driver holds ``sample_rows`` sampled keys and ``ranges`` bounds, at any input size.
     """
+    ship(docs.sparkSession)
     base = materialize(
         docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).select(
             "id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("crc"), F.xxhash64("text").alias("key"), F.coalesce("id", F.lit(_LOWEST)).alias("row")
