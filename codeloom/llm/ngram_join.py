@@ -1,9 +1,10 @@
 """Jaccard self-join on word n-grams by T-occurrence search.
 
-Texts that can link share a shingle among their rarest ones (the prefix that the threshold leaves),
-so the components over shared prefix shingles are cells that no link leaves. In each cell every
-document that may still join two components is a query: its short inverted lists are merged, its long
-ones are probed by binary search, and documents with the required overlap are linked.
+Texts that can link share shingles among their rarest ones (the prefix that the threshold leaves),
+and the threshold says how many. Pairs with fewer are ruled out by counting over short lists; long
+lists hook all their texts together. The components that this leaves are cells that no link leaves. In
+each cell every document that may still join two components is a query: its short inverted lists are
+merged, its long ones are probed by binary search, and documents with the required overlap are linked.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, text_or_empty
+from codeloom.llm.common import materialize, ship, text_or_empty
 from codeloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,6 +91,67 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.uint64)).view(pa.int64()))
 
 
+def hook_lists(batches: Iterator[pa.RecordBatch], short_list: int) -> Iterator[pa.RecordBatch]:
+    """(u, v, shared, iu, iv) from rows (a, at, s, part) sorted by s, part and a; ``at`` is the shingle's place in the text's order.
+
+    For part 0, lists of up to ``short_list`` texts give their pairs, with the number of lists that each pair has here and
+    the last places; longer ones hook their texts on the least (shared 0). Other parts always hook, and give (s, least, -1).
+    """
+    names = ("a", "s", "part", "at")
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        return np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]
+
+    def pairs_and_hooks(a: np.ndarray, s: np.ndarray, part: np.ndarray, at: np.ndarray, long: bool) -> pa.RecordBatch:
+        once = changes(s, part, a)  # copies that other tasks have read
+        a, s, part, at = a[once], s[once], part[once], at[once]
+        starts = np.flatnonzero(changes(s, part))
+        length = np.diff(np.r_[starts, len(s)])
+        starred = (length > short_list) | (part[starts] > 0)
+        starred[0] |= long
+        rows: list[np.ndarray] = []
+        for k in np.unique(length[~starred]):
+            if k > 1:
+                members = starts[~starred & (length == k)][:, None] + np.arange(k)
+                i, j = np.triu_indices(k, 1)
+                v, u = members[:, i].ravel(), members[:, j].ravel()
+                rows.append(np.stack([a[u], a[v], at[u], at[v]]))
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        if rows:
+            u, v, iu, iv = np.concatenate(rows, axis=1)
+            order = np.lexsort((v, u))
+            u, v, iu, iv = u[order], v[order], iu[order], iv[order]
+            first = np.flatnonzero(changes(u, v))
+            for o, x in zip(out, (u[first], v[first], np.diff(np.r_[first, len(u)]), np.maximum.reduceat(iu, first), np.maximum.reduceat(iv, first))):
+                o.append(x)
+        least = np.repeat(a[starts], length)
+        hooked = np.repeat(starred, length) & (a != least)
+        headed = starts[part[starts] > 0]
+        for u, v, kind in ((a[hooked], least[hooked], 0), (s[headed], a[headed], -1)):
+            for o, x in zip(out, (u, v, np.full(len(u), kind), np.zeros(len(u)), np.zeros(len(u)))):
+                o.append(x)
+        types = (np.int64, np.int64, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(t)) for o, t in zip(out, types)], ["u", "v", "shared", "iu", "iv"])
+
+    long = False
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names))
+        if sum(len(h[0]) for h in held) < 500_000:
+            continue
+        whole = tuple(np.concatenate(x) for x in zip(*held))
+        last = int(np.flatnonzero(changes(whole[1], whole[2]))[-1])
+        if last:
+            yield pairs_and_hooks(*(x[:last] for x in whole), long)
+            held, long = [tuple(x[last:] for x in whole)], False
+        else:  # one list and no end yet: hook what is there, and go on from its least text
+            yield pairs_and_hooks(*whole, True)
+            held, long = [tuple(x[:1] for x in whole)], True
+    if held:
+        yield pairs_and_hooks(*(np.concatenate(x) for x in zip(*held)), long)
+
+
 class CellIndex:
     """The inverted lists of a cell's sets, and T-occurrence search over them."""
 
@@ -193,7 +255,7 @@ def link_cell(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def jaccard_components(
     docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
-    order_docs: int = 8192, order_shingles: int = 100_000, cell_shingles: int = 8_000_000,
+    order_docs: int = 16_384, order_shingles: int = 200_000, short_list: int = 24, cell_shingles: int = 8_000_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
@@ -204,16 +266,22 @@ def jaccard_components(
     gives no rows.
 
     ``order_docs`` texts are sampled and at most ``order_shingles`` of their shared shingles ranked as
-    frequent; that decides only in which order a text's shingles are tried, never the result. A cell of
+    frequent; that decides only in which order a text's shingles are tried, never the result. Lists of up to
+    ``short_list`` texts count pairs, longer ones hook. A cell of
     more than ``cell_shingles`` shingles is cut into blocks, and every pair of blocks is searched.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_sets(batches: Iterator[pa.RecordBatch], distinct: bool = False) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
+        seen: set[tuple[int, int]] = set()
         for part in steps(batches, "text"):
             sets = shingler.sets(part.column("text").to_pylist())
             marks = [digest(s) for s in sets]
+            if distinct:
+                own = [i for i, m in enumerate(marks) if m not in seen and not seen.add(m)]
+                part, sets, marks = part.take(pa.array(own, pa.int64())), [sets[i] for i in own], [marks[i] for i in own]
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), lists(sets)], ["id", "a", "b", "shingles"]
             )
@@ -221,8 +289,8 @@ def jaccard_components(
     set_type = "id long, a long, b long, shingles array<long>"
     share = min(1.0, order_docs / max(1, rows.count()))
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(1 << 53))
-    sampled = rows.where(draw < share).mapInArrow(whole_sets, set_type).dropDuplicates(["a", "b"])
-    common = sampled.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(order_shingles)
+    sampled = rows.where(draw < share).mapInArrow(lambda batches: whole_sets(batches, distinct=True), set_type)
+    common = sampled.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(2, round(short_list * share))).orderBy(F.desc("n"), "s").limit(order_shingles)
     frequent = sorted((np.int64(r["s"]).view(np.uint64), r["n"]) for r in common.collect())
     hot, hot_count = np.array([k for k, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64)
 
@@ -253,28 +321,43 @@ def jaccard_components(
             )
 
     marked = materialize(rows.mapInArrow(prefixes, "id long, a long, b long, n long, rare array<long>, often array<long>"), "join-marks")
-    # Each list of a shingle hooks its sets on its least one; lists of frequent shingles do so in 64 parts first.
-    listed = marked.where("id IS NOT NULL").select("a", F.explode("rare").alias("s"), F.lit(0).alias("part")).union(
-        marked.where("id IS NOT NULL").select("a", F.explode("often").alias("s"), (F.pmod("a", F.lit(64)) + 1).cast("int").alias("part"))
+    listed = marked.where("id IS NOT NULL").select("a", F.posexplode("rare").alias("at", "s"), F.lit(0).alias("part")).union(
+        marked.where("id IS NOT NULL").select("a", F.posexplode("often").alias("at", "s"), (F.pmod("a", F.lit(64)) + 1).cast("int").alias("part"))
     )
-    hooked = listed.select("a", "s", "part", F.min("a").over(Window.partitionBy("s", "part")).alias("m"))
-    near = hooked.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
-    heads = listed.where("part > 0").groupBy("s", "part").agg(F.min("a").alias("m"))
-    tops = heads.groupBy("s").agg(F.min("m").alias("v"))
-    far = heads.join(tops, "s").where("m <> v").select(F.col("m").alias("u"), "v").distinct()
-    stars = components(near.union(far), "join-cells")
+    dealt = listed.repartition("s", "part").sortWithinPartitions("s", "part", "a")
+    hooks = materialize(dealt.mapInArrow(lambda batches: hook_lists(batches, short_list), "u long, v long, shared long, iu int, iv int"), "join-hooks")
+    groups = marked.where("id IS NOT NULL AND n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    sizes = groups.groupBy("a").agg(F.max("n").alias("n"))
+    # After the last shingle that a pair shares in its prefixes, it can share as many as either text has left.
+    counted = hooks.where("shared > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
+    counted = counted.join(sizes.select(F.col("a").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("a").alias("v"), F.col("n").alias("nv")), "v")
+    most = F.col("shared") + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
+    near = counted.where((100 + percent) * F.least(most, "nu", "nv") >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+    # Lists of frequent shingles came in 64 parts; their heads meet here.
+    heads = hooks.where("shared < 0").select(F.col("u").alias("s"), F.col("v").alias("m"))
+    far = heads.join(heads.groupBy("s").agg(F.min("m").alias("v")), "s").where("m <> v").select(F.col("m").alias("u"), "v")
+    near = near.union(hooks.where("shared = 0").select("u", "v")).union(far).distinct()
+    stars = components(near, "join-cells")
     cells = stars.select(F.col("node").alias("a"), F.col("root").alias("cell")).union(stars.select(F.col("root").alias("a"), F.col("root").alias("cell")).distinct())
 
-    groups = marked.where("id IS NOT NULL AND n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     members = materialize(groups.join(cells, "a"), "join-members")
     size = members.groupBy("cell").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles)
     blocks = members.join(size, "cell", "left").select(
         "cell", "a", "b", F.col("least").alias("id"), F.coalesce(F.ceil(F.col("total") * 2 / cell_shingles), F.lit(1)).cast("int").alias("blocks")
     )
     wanted = blocks.select("id", F.col("a").alias("wa"), F.col("b").alias("wb"), "cell", "blocks")
-    count = members.count()
-    texts = rows.join(F.broadcast(wanted.select("id")) if count <= 500_000 else wanted.select("id"), "id", "left_semi")  # at most 4 MB of ids
-    found = texts.mapInArrow(whole_sets, set_type).join(wanted, "id").where("a = wa AND b = wb").dropDuplicates(["id", "a", "b"])
+    wanted = F.broadcast(wanted) if members.count() <= 200_000 else wanted  # at most 8 MB
+
+    def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the texts that are the wanted ones: ids may repeat."""
+        shingler = Shingler(words)
+        for part in steps(batches, "text"):
+            sets = shingler.sets(part.column("text").to_pylist())
+            own = [i for i, (s, *w) in enumerate(zip(sets, part.column("wa").to_pylist(), part.column("wb").to_pylist())) if digest(s) == tuple(w)]
+            part = part.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "blocks", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "blocks", "id", "a", "b", "shingles"])
+
+    found = rows.join(wanted, "id").mapInArrow(wanted_sets, "cell long, blocks int, id long, a long, b long, shingles array<long>")
     block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     paired = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = paired.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "a", "b", "shingles")
@@ -286,6 +369,7 @@ def jaccard_components(
 
         def close() -> None:
             held.sort(key=lambda h: h[:3])
+            held[:] = [h for i, h in enumerate(held) if not i or h[:3] != held[i - 1][:3]]  # rows that repeat id and text
             root = link_cell([h[3] for h in held], percent) if len(held) > 1 else [0] * len(held)
             out.extend((h[1], h[2], held[r][0]) for h, r in zip(held, root))
             held.clear()
