@@ -8,6 +8,7 @@ there; what it covers leaves the sample. The list becomes one ordered conditiona
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,46 +23,58 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "words_per_line")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it and wherever the optimizer moves it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeated_words(text: Column) -> Column:
+    """Words in three-word windows that the text has more than once.
+
+    Repeated windows are neighbours once sorted with their places; the words of such windows count once each.
+    """
+    word = WORD_GAP.replace("[", "[^")
+    window = rf"(?<![^\x20])(?=({word}++ {word}++ {word}++))"
+
+    def of_sorted(s: Column) -> Column:
+        pairs = F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.struct(x["at"].alias("i"), y["at"].alias("j"), (x["window"] == y["window"]).alias("same"))), lambda p: p["same"])
+        return _let(F.flatten(F.transform(pairs, lambda p: F.array(p["i"], p["j"]))), of_places)
+
+    def of_places(at: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
+
+    def of_windows(w: Column) -> Column:
+        found = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("window"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), _let(found, of_sorted)).otherwise(F.lit(0))
+
+    return _let(F.regexp_extract_all(F.trim(F.regexp_replace(text, WORD_GAP + "+", " ")), F.lit(window), 1), of_windows)
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the statistics of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and those of ``FEATURES``.
 
     Words are runs of other than ASCII white space. A null text counts as empty: all statistics are 0.
+    Columns of these names in ``docs`` are replaced.
     """
-    word, gap = WORD_GAP.replace("[", "[^"), WORD_GAP
-    window = rf"(?<![^\x20])(?=({word}++ {word}++ {word}++))"
     text = text_or_empty(text_col)
 
     def without(column: Column, characters: str) -> Column:
         return F.length(F.translate(column, characters, ""))
 
-    lines = F.filter(F.split(text, "\n"), lambda line: without(line, _GAP_CHARACTERS) > 0)
-    read = docs.withColumns({
-        "_plain": F.trim(F.regexp_replace(text, gap + "+", " ")), "_lines": lines, "_chars": F.length(text), "word_chars": without(text, _GAP_CHARACTERS).cast("long"),
-        "n_symbols": (F.length(text) - without(text, SYMBOLS)).cast("long"), "_upper": F.length(text) - without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_marks": F.length(text) - without(text, "!?"),
-    })
-    read = read.withColumns({
-        "n_words": F.when(F.col("_plain") == "", F.lit(0)).otherwise(F.length("_plain") - F.col("word_chars") + 1).cast("long"),
-        "_windows": F.regexp_extract_all("_plain", F.lit(window), 1), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "_n_lines": F.size("_lines"),
-    })
-    # Windows found again are neighbours once sorted with their places; the words of such windows count once each.
-    sought = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.arrays_zip("_windows", F.sequence(F.lit(1), F.size("_windows")).alias("at"))))
-    read = read.withColumn("_sorted", sought)
-    pairs = F.filter(F.arrays_zip(F.col("_sorted").alias("x"), F.slice("_sorted", 2, F.greatest(F.size("_sorted"), F.lit(1))).alias("y")), lambda p: p["x"]["_windows"] == p["y"]["_windows"])
-    read = read.withColumn("_pairs", F.when(F.col("_sorted").isNotNull(), pairs))
-    places = F.when(F.col("_pairs").isNotNull(), F.array_union(F.col("_pairs")["x"]["at"], F.col("_pairs")["y"]["at"]))
-    read = read.withColumn("_places", places)
-    covered = F.array_union(F.array_union("_places", F.transform("_places", lambda i: i + 1)), F.transform("_places", lambda i: i + 2))
-    read = read.withColumn("n_repeat_words", F.coalesce(F.size(F.when(F.col("_places").isNotNull(), covered)), F.lit(0)).cast("long"))
-
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
-    chars = F.col("word_chars")
-    read = read.withColumns({
-        "word_length": share(chars, F.col("n_words")), "symbol_share": share(F.col("n_symbols"), chars), "dup_line_share": share(F.col("n_dup_lines"), F.col("_n_lines")),
-        "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")), "upper_share": share(F.col("_upper"), chars), "mark_share": share(F.col("_marks"), chars), "words_per_line": share(F.col("n_words"), F.col("_n_lines")),
+    lines = F.filter(F.split(text, "\n"), lambda line: without(line, _GAP_CHARACTERS) > 0)
+    read = docs.withColumns({
+        "n_words": F.regexp_count(text, F.lit(WORD_GAP.replace("[", "[^") + "+")).cast("long"), "word_chars": without(text, _GAP_CHARACTERS).cast("long"),
+        "n_symbols": (F.length(text) - without(text, SYMBOLS)).cast("long"), "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": _repeated_words(text).cast("long"), "_upper": F.length(text) - without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_marks": F.length(text) - without(text, "!?"), "_lines": F.size(lines),
     })
-    return read.drop(*[c for c in read.columns if c.startswith("_") and c not in docs.columns])
+    chars = F.col("word_chars")
+    return read.withColumns({
+        "word_length": share(chars, F.col("n_words")), "symbol_share": share(F.col("n_symbols"), chars), "dup_line_share": share(F.col("n_dup_lines"), F.col("_lines")),
+        "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")), "upper_share": share(F.col("_upper"), chars), "mark_share": share(F.col("_marks"), chars), "words_per_line": share(F.col("n_words"), F.col("_lines")),
+    }).drop("_upper", "_marks", "_lines")
 
 
 def base_failed() -> Column:
@@ -164,7 +177,8 @@ def learn_from_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).select(F.col(id_col), (1 - F.col(quality_col)).cast("int").alias("bad"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(11)), id_col).limit(sample_rows)
     texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # at most sample_rows rows
-    return learn_rules(materialize(with_statistics(texts, text_col).where(~base_failed()).select(id_col, "bad", *FEATURES), "rules-labelled"), id_col=id_col)
+    measured = with_statistics(texts, text_col).select(id_col, "bad", "n_repeat_words", *FEATURES)
+    return learn_rules(materialize(measured, "rules-labelled").where(~base_failed()), id_col=id_col)
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
