@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding
+from codeloom.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, url_rules
 from codeloom.llm.common import table
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
 MIX_UNITS = {"src0": 20, **{f"src{i}": 9 for i in range(1, 20)}, mixing.OTHER: 9}
 MIX_BLOCK_ROWS = 8
+#: Verdicts for hosts and paths.
+SITE_RULES = [
+    url_rules.SiteRule("allow", "org", "/"),
+    url_rules.SiteRule("block", "example.org", "/es/"),
+    url_rules.SiteRule("block", "example.org", "/en/1"),
+    url_rules.SiteRule("allow", "com", "/fr/"),
+    url_rules.SiteRule("block", "com", "/de/"),
+]
+#: A mined rule's least share of the labelled pages, rows and confidence, and most tokens.
+URL_MINING = {"support": 0.001, "least_rows": 4, "confidence": 0.6, "most_tokens": 3}
 #: The vocabulary file of the encoder, by its name in the tokenizer package.
 BPE_FILE = "word_bpe_49k.json"
 
@@ -25,6 +35,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_rules.judge_urls(pages, url_rules.labels_by_number(pages, table(spark, sf_dir, "labels")), SITE_RULES, **URL_MINING)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.learn_from_labels(docs, table(spark, sf_dir, "labels"))
@@ -59,6 +75,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_url_rules": op3_url_rules,
     "op4_quality_rules": op4_quality_rules,
     "op5_html": op5_html,
     "op6_mixing": op6_mixing,
@@ -94,7 +111,42 @@ SELECT doc_id, source, b.stream, blk + 1 AS block, t + (blk // u) * p AS slot, r
 FROM b JOIN steps ON steps.stream = b.stream AND steps.k = blk % u + 1, total
 """
 
+_URL = r"'^(.*?)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$'"
+_DIGITS = "regexp_replace(lower({}), '[0-9]+', '0', 'g')"
+
+#: Token sets of one to three by self-joins, in place of FP-growth.
+_OP3 = r"""
+WITH p AS (SELECT page_id, url, CASE WHEN regexp_matches(url, {url}, 's') THEN url END AS u FROM pages),
+f AS (SELECT page_id, url, regexp_extract(u, {url}, 1, 's') AS scheme, coalesce(translate(regexp_extract(u, {url}, 2, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(u, {url}, 3, 's'), '') AS path, regexp_extract(u, {url}, 4, 's') AS query, regexp_extract(u, {url}, 5, 's') AS part FROM p),
+l AS (SELECT *, string_split(host, '.') AS labels FROM f),
+t AS (SELECT page_id, url, list_sort(list_distinct(list_concat(
+    list_transform(list_filter([scheme], lambda x: x <> ''), lambda x: 'scheme:' || {x}), list_transform(list_filter([host], lambda x: x <> ''), lambda x: 'host:' || {x}),
+    list_transform(list_filter(labels[1:1], lambda x: x <> ''), lambda x: 'first:' || {x}), list_transform(list_filter(labels[-1:], lambda x: x <> ''), lambda x: 'last:' || {x}),
+    list_transform(list_filter(flatten(list_transform(list_filter(labels, lambda y: contains(y, '-')), lambda y: string_split(y, '-'))), lambda x: x <> ''), lambda x: 'word:' || {x}),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path:' || {x}),
+    list_transform(list_filter(list_transform(string_split(query, '&'), lambda y: split_part(y, '=', 1)), lambda x: x <> ''), lambda x: 'key:' || {x}),
+    list_transform(list_filter([part], lambda x: x <> ''), lambda x: 'part:' || {x})))) AS tokens FROM l WHERE host <> ''),
+own AS (SELECT doc_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT row_number() OVER () AS r, tokens, bad FROM t JOIN own ON own.doc_id = try_cast(regexp_extract(url, '^.*?://[^/?#]*[^?#]*?([0-9]+)[^0-9/?#]*/?(?:[?#].*)?$', 1, 's') AS BIGINT)),
+w AS (SELECT r, bad, unnest(tokens) AS k FROM labelled),
+s AS (SELECT r, bad, [k] AS items FROM w
+  UNION ALL SELECT a.r, a.bad, [a.k, b.k] FROM w a JOIN w b ON a.r = b.r AND a.k < b.k
+  UNION ALL SELECT a.r, a.bad, [a.k, b.k, c.k] FROM w a JOIN w b ON a.r = b.r AND a.k < b.k JOIN w c ON b.r = c.r AND b.k < c.k),
+rules AS (SELECT items FROM s GROUP BY items HAVING sum(bad) >= greatest({least}, ceil({support} * (SELECT count(*) FROM labelled))) AND sum(bad) >= {confidence} * count(*)),
+hit AS (SELECT DISTINCT page_id FROM t, rules WHERE list_has_all(tokens, items)),
+site(verdict, h, p) AS (VALUES {rules}),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(site.verdict, length(h || p)) AS verdict
+  FROM f JOIN site ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT f.page_id, f.host, f.path, fit.rule, coalesce(fit.verdict, CASE WHEN hit.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM f LEFT JOIN fit USING (page_id) LEFT JOIN hit USING (page_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_url_rules": _OP3.format(
+        url=_URL, x=_DIGITS.format("x"), least=URL_MINING["least_rows"], support=URL_MINING["support"], confidence=URL_MINING["confidence"],
+        rules=", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in SITE_RULES),
+    ),
     "op1_exact_dedup": _OP1,
     "op6_mixing": _OP6.format(units=", ".join(f"('{s}', {u}::BIGINT)" for s, u in MIX_UNITS.items()), rows=MIX_BLOCK_ROWS),
 }
