@@ -1,9 +1,9 @@
 """Jaccard self-join on word n-grams by T-occurrence search.
 
-Texts that can link share shingles among their rarest ones (the prefix that the threshold leaves),
-and the threshold says how many. Pairs with fewer are ruled out by counting over short lists; long
-lists hook all their texts together. The components that this leaves are cells that no link leaves. In
-each cell every document that may still join two components is a query: its short inverted lists are
+Texts that can link share many of the shingles whose hashes lie below a fixed cut, and the threshold
+says how many. Pairs with fewer are ruled out by counting over short lists; long lists hook those of their
+texts together that have enough shingles in long lists. The components that this leaves are cells that
+no link leaves. In each cell every document that may still join two components is a query: its short inverted lists are
 merged, its long ones are probed by binary search, and documents with the required overlap are linked.
 """
 
@@ -91,65 +91,70 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.uint64)).view(pa.int64()))
 
 
+#: What a row of ``hook_lists`` is.
+PAIR, HOOK, HEAD = 0, 1, 2
+
+
 def hook_lists(batches: Iterator[pa.RecordBatch], short_list: int) -> Iterator[pa.RecordBatch]:
-    """(u, v, shared, iu, iv) from rows (a, at, s, part) sorted by s, part and a; ``at`` is the shingle's place in the text's order.
+    """(u, v, kind, n) from rows (a, s, part) sorted by s, part and a.
 
-    For part 0, lists of up to ``short_list`` texts give their pairs, with the number of lists that each pair has here and
-    the last places; longer ones hook their texts on the least (shared 0). Other parts always hook, and give (s, least, -1).
+    PAIR: texts u and v are in n lists together, of part 0 and of up to ``short_list`` texts. HOOK: text u is in n other lists of the
+    hub v; lists of the same least text and length have one hub. HEAD: u is a shingle of part 1 or more and v its hub in that part.
     """
-    names = ("a", "s", "part", "at")
     held: list[tuple[np.ndarray, ...]] = []
+    carried: int | None = None  # the hub of a list that began in rows that are gone
 
     def changes(*columns: np.ndarray) -> np.ndarray:
         return np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]
 
-    def pairs_and_hooks(a: np.ndarray, s: np.ndarray, part: np.ndarray, at: np.ndarray, long: bool) -> pa.RecordBatch:
+    def summed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        first = np.flatnonzero(changes(u, v)) if len(u) else np.empty(0, np.int64)
+        return u[first], v[first], np.diff(np.r_[first, len(u)])
+
+    def found(a: np.ndarray, s: np.ndarray, part: np.ndarray, hub: int | None) -> pa.RecordBatch:
         once = changes(s, part, a)  # copies that other tasks have read
-        a, s, part, at = a[once], s[once], part[once], at[once]
+        a, s, part = a[once], s[once], part[once]
         starts = np.flatnonzero(changes(s, part))
         length = np.diff(np.r_[starts, len(s)])
-        starred = (length > short_list) | (part[starts] > 0)
-        starred[0] |= long
-        rows: list[np.ndarray] = []
-        for k in np.unique(length[~starred]):
+        long = (length > short_list) | (part[starts] > 0)
+        long[0] |= hub is not None
+        hubs = ((a[starts].view(np.uint64) + length.astype(np.uint64)) * _MIX).view(np.int64)
+        if hub is not None:
+            hubs[0] = hub
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in np.unique(length[~long]):
             if k > 1:
-                members = starts[~starred & (length == k)][:, None] + np.arange(k)
+                members = a[starts[~long & (length == k)][:, None] + np.arange(k)]
                 i, j = np.triu_indices(k, 1)
-                v, u = members[:, i].ravel(), members[:, j].ravel()
-                rows.append(np.stack([a[u], a[v], at[u], at[v]]))
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        if rows:
-            u, v, iu, iv = np.concatenate(rows, axis=1)
-            order = np.lexsort((v, u))
-            u, v, iu, iv = u[order], v[order], iu[order], iv[order]
-            first = np.flatnonzero(changes(u, v))
-            for o, x in zip(out, (u[first], v[first], np.diff(np.r_[first, len(u)]), np.maximum.reduceat(iu, first), np.maximum.reduceat(iv, first))):
-                o.append(x)
-        least = np.repeat(a[starts], length)
-        hooked = np.repeat(starred, length) & (a != least)
-        headed = starts[part[starts] > 0]
-        for u, v, kind in ((a[hooked], least[hooked], 0), (s[headed], a[headed], -1)):
-            for o, x in zip(out, (u, v, np.full(len(u), kind), np.zeros(len(u)), np.zeros(len(u)))):
-                o.append(x)
-        types = (np.int64, np.int64, np.int64, np.int32, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(t)) for o, t in zip(out, types)], ["u", "v", "shared", "iu", "iv"])
-
-    long = False
+                pairs.append((members[:, j].ravel(), members[:, i].ravel()))
+        none = np.empty(0, np.int64)
+        rows = [(summed(*(np.concatenate(x) for x in zip(*pairs))) if pairs else (none, none, none), PAIR)]
+        inside = np.repeat(long, length)
+        rows.append((summed(a[inside], np.repeat(hubs, length)[inside]), HOOK))
+        headed = part[starts] > 0
+        rows.append(((s[starts][headed], hubs[headed], np.ones(int(headed.sum()), np.int64)), HEAD))
+        columns = [pa.array(np.concatenate([r[i] for r, _ in rows]).astype(np.int64)) for i in range(3)]
+        kinds = pa.array(np.concatenate([np.full(len(r[0]), kind, np.int32) for r, kind in rows]))
+        return pa.RecordBatch.from_arrays([columns[0], columns[1], kinds, columns[2]], ["u", "v", "kind", "n"])
+
     for batch in batches:
         if batch.num_rows:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names))
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s", "part")))
         if sum(len(h[0]) for h in held) < 500_000:
             continue
-        whole = tuple(np.concatenate(x) for x in zip(*held))
-        last = int(np.flatnonzero(changes(whole[1], whole[2]))[-1])
+        a, s, part = (np.concatenate(x) for x in zip(*held))
+        last = int(np.flatnonzero(changes(s, part))[-1])
         if last:
-            yield pairs_and_hooks(*(x[:last] for x in whole), long)
-            held, long = [tuple(x[last:] for x in whole)], False
-        else:  # one list and no end yet: hook what is there, and go on from its least text
-            yield pairs_and_hooks(*whole, True)
-            held, long = [tuple(x[:1] for x in whole)], True
+            yield found(a[:last], s[:last], part[:last], carried)
+            held, carried = [(a[last:], s[last:], part[last:])], None
+        else:  # one list and no end yet: hook what is there, and keep its hub
+            carried = int(s[0]) if carried is None else carried
+            yield found(a, s, part, carried)
+            held = [(a[-1:], s[-1:], part[-1:])]
     if held:
-        yield pairs_and_hooks(*(np.concatenate(x) for x in zip(*held)), long)
+        yield found(*(np.concatenate(x) for x in zip(*held)), carried)
 
 
 class CellIndex:
@@ -255,7 +260,7 @@ def link_cell(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def jaccard_components(
     docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
-    order_docs: int = 16_384, order_shingles: int = 200_000, short_list: int = 24, cell_shingles: int = 8_000_000,
+    order_docs: int = 16_384, order_shingles: int = 100_000, frequent: int = 16, cut: float = 0.35, short_list: int = 24, cell_shingles: int = 8_000_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
@@ -265,8 +270,9 @@ def jaccard_components(
     component and links with nothing. Rows that repeat an id are judged by their texts. An empty table
     gives no rows.
 
-    ``order_docs`` texts are sampled and at most ``order_shingles`` of their shared shingles ranked as
-    frequent; that decides only in which order a text's shingles are tried, never the result. Lists of up to
+    ``order_docs`` texts are sampled; at most ``order_shingles`` of the shingles that ``frequent`` of these share
+    are tried last. That and ``cut``, the share of other shingles that is tried, decide only how many candidates
+    there are, never the result. Lists of up to
     ``short_list`` texts count pairs, longer ones hook. A cell of
     more than ``cell_shingles`` shingles is cut into blocks, and every pair of blocks is searched.
     """
@@ -290,9 +296,10 @@ def jaccard_components(
     share = min(1.0, order_docs / max(1, rows.count()))
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(1 << 53))
     sampled = rows.where(draw < share).mapInArrow(lambda batches: whole_sets(batches, distinct=True), set_type)
-    common = sampled.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(2, round(short_list * share))).orderBy(F.desc("n"), "s").limit(order_shingles)
-    frequent = sorted((np.int64(r["s"]).view(np.uint64), r["n"]) for r in common.collect())
-    hot, hot_count = np.array([k for k, _ in frequent], np.uint64), np.array([n for _, n in frequent], np.int64)
+    common = sampled.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= frequent).orderBy(F.desc("n"), "s").limit(order_shingles)
+    ranked = sorted((np.int64(r["s"]).view(np.uint64), r["n"]) for r in common.collect())
+    hot, hot_count = np.array([k for k, _ in ranked], np.uint64), np.array([n for _, n in ranked], np.int64)
+    below = np.uint64(int(cut * 2**64))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -310,34 +317,46 @@ def jaccard_components(
                 want = len(s) - required(len(s), percent) + 1
                 at = np.searchsorted(hot, s)
                 at[at == len(hot)] = 0
-                frequent_here = hot[at] == s if len(hot) else np.zeros(len(s), bool)
-                own = s[~frequent_here][:want]
-                rest = s[frequent_here]
-                rare.append(own)
-                often.append(rest[np.lexsort((rest, hot_count[at[frequent_here]]))][: want - len(own)] if len(own) < want else none)
+                is_hot = hot[at] == s if len(hot) else np.zeros(len(s), bool)
+                own, rest = s[~is_hot], s[is_hot]
+                # At least the prefix that shares a shingle with whatever links; the cut if that is more.
+                rare.append(own[: max(want, int(np.searchsorted(own, below)))])
+                often.append(rest[np.lexsort((rest, hot_count[at[is_hot]]))][: want - len(own)] if len(own) < want else none)
+            taken = [int(np.searchsorted(x, below)) for x in rare]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists(rare), lists(often)],
-                ["id", "a", "b", "n", "rare", "often"],
-            )
-
-    marked = materialize(rows.mapInArrow(prefixes, "id long, a long, b long, n long, rare array<long>, often array<long>"), "join-marks")
-    listed = marked.where("id IS NOT NULL").select("a", F.posexplode("rare").alias("at", "s"), F.lit(0).alias("part")).union(
-        marked.where("id IS NOT NULL").select("a", F.posexplode("often").alias("at", "s"), (F.pmod("a", F.lit(64)) + 1).cast("int").alias("part"))
+                [part.column("id"), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(taken, pa.int64()), lists(rare), lists(often)],
+                ["id", "a", "b", "n", "taken", "rare", "often"],
+            )
+
+    marked = materialize(rows.mapInArrow(prefixes, "id long, a long, b long, n long, taken long, rare array<long>, often array<long>"), "join-marks")
+    listed = marked.where("id IS NOT NULL").select("a", F.explode("rare").alias("s"), F.lit(0).alias("part")).union(
+        marked.where("id IS NOT NULL").select("a", F.explode("often").alias("s"), (F.pmod("a", F.lit(64)) + 1).cast("int").alias("part"))
     )
     dealt = listed.repartition("s", "part").sortWithinPartitions("s", "part", "a")
-    hooks = materialize(dealt.mapInArrow(lambda batches: hook_lists(batches, short_list), "u long, v long, shared long, iu int, iv int"), "join-hooks")
-    groups = marked.where("id IS NOT NULL AND n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
-    sizes = groups.groupBy("a").agg(F.max("n").alias("n"))
-    # After the last shingle that a pair shares in its prefixes, it can share as many as either text has left.
-    counted = hooks.where("shared > 0").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("iu").alias("iu"), F.max("iv").alias("iv"))
-    counted = counted.join(sizes.select(F.col("a").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("a").alias("v"), F.col("n").alias("nv")), "v")
-    most = F.col("shared") + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
-    near = counted.where((100 + percent) * F.least(most, "nu", "nv") >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+    hooks = materialize(dealt.mapInArrow(lambda batches: hook_lists(batches, short_list), "u long, v long, kind int, n long"), "join-hooks")
+    groups = marked.where("id IS NOT NULL AND n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("taken").alias("taken"))
+    # What any partner must share with a text below the cut; less than 1: one shared shingle of the prefix is all that can be asked for.
+    sizes = groups.groupBy("a").agg(F.max("n").alias("n"), F.max("taken").alias("taken")).withColumn("least_shared", F.col("taken") - F.col("n") + F.ceil(F.col("n") * percent / 100))
+    in_long = hooks.where(F.col("kind") == HOOK).groupBy("u").agg(F.sum("n").alias("long"))
+    known = materialize(sizes.join(in_long.withColumnRenamed("u", "a"), "a", "left").na.fill(0, ["long"]), "join-sizes")
+
+    def side(name: str) -> DataFrame:
+        return known.select(F.col("a").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "taken", "least_shared", "long")])
+
+    counted = hooks.where(F.col("kind") == PAIR).groupBy("u", "v").agg(F.sum("n").alias("shared")).join(side("u"), "u").join(side("v"), "v")
+    # Above the cut a pair shares as many as either text has left, and in long lists as many as either text has there.
+    most = F.col("shared") + F.least("long_u", "long_v") + F.least(F.col("n_u") - F.col("taken_u"), F.col("n_v") - F.col("taken_v"))
+    loose = F.least("least_shared_u", "least_shared_v") < 1
+    fits = (100 + percent) * F.least(F.when(loose, F.least("n_u", "n_v")).otherwise(most), "n_u", "n_v") >= percent * (F.col("n_u") + F.col("n_v"))
+    near = counted.where(fits).select("u", "v")
+    hooked = hooks.where(F.col("kind") == HOOK).join(known.select(F.col("a").alias("u"), "least_shared", "long"), "u").where("long >= least_shared").select("u", "v").distinct()
     # Lists of frequent shingles came in 64 parts; their heads meet here.
-    heads = hooks.where("shared < 0").select(F.col("u").alias("s"), F.col("v").alias("m"))
+    heads = hooks.where(F.col("kind") == HEAD).select(F.col("u").alias("s"), F.col("v").alias("m")).distinct()
     far = heads.join(heads.groupBy("s").agg(F.min("m").alias("v")), "s").where("m <> v").select(F.col("m").alias("u"), "v")
-    near = near.union(hooks.where("shared = 0").select("u", "v")).union(far).distinct()
+    near = near.union(hooked).union(far).distinct()
     stars = components(near, "join-cells")
+    # Hubs are nodes too; they drop out here, as no text has their number.
     cells = stars.select(F.col("node").alias("a"), F.col("root").alias("cell")).union(stars.select(F.col("root").alias("a"), F.col("root").alias("cell")).distinct())
 
     members = materialize(groups.join(cells, "a"), "join-members")
