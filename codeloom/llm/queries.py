@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, url_rules
+from codeloom.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
 from codeloom.llm.common import table
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
@@ -72,6 +72,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = toxicity.learn(docs, labels.where(~held_out))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 _OP1 = """
