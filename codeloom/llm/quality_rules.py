@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import WORD_GAP, materialize, text_or_empty
 
-_GAP_CHARACTERS = " \t\n\x0b\x0c\r"
 #: The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
 #: Statistics that rules may test; all are defined for any text.
@@ -58,17 +57,18 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = text_or_empty(text_col)
 
-    def without(column: Column, characters: str) -> Column:
-        return F.length(F.translate(column, characters, ""))
+    def only(characters: str) -> Column:
+        """How many of these characters the text has."""
+        return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
-    lines = F.filter(F.split(text, "\n"), lambda line: without(line, _GAP_CHARACTERS) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_GAP.replace("[", "[^")))
     read = docs.withColumns({
-        "n_words": F.regexp_count(text, F.lit(WORD_GAP.replace("[", "[^") + "+")).cast("long"), "word_chars": without(text, _GAP_CHARACTERS).cast("long"),
-        "n_symbols": (F.length(text) - without(text, SYMBOLS)).cast("long"), "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeated_words(text).cast("long"), "_upper": F.length(text) - without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_marks": F.length(text) - without(text, "!?"), "_lines": F.size(lines),
+        "n_words": F.regexp_count(text, F.lit(WORD_GAP.replace("[", "[^") + "+")).cast("long"), "word_chars": F.length(F.regexp_replace(text, WORD_GAP + "+", "")).cast("long"),
+        "n_symbols": only(SYMBOLS).cast("long"), "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": _repeated_words(text).cast("long"), "_upper": only("A-Z"), "_marks": only("!?"), "_lines": F.size(lines),
     })
     chars = F.col("word_chars")
     return read.withColumns({
