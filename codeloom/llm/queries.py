@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
+from codeloom.llm import bpe, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
 from codeloom.llm.common import table
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
@@ -60,6 +60,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score_quality(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Of each document: the number of its tokens, and digests of its ids and of what they decode to."""
     import public_tokenizers
@@ -80,6 +86,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words")
 
 
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the learned rules."""
+    rules = quality_rules.learn_from_labels(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+
+
+def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    dropped = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the document with the smallest id."""
+    dropped = ngram_join.jaccard_components(docs, words=5, percent=75).where("doc_id <> component_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, dealt to files and sorted in them by their place in the mix."""
+    columns = docs.columns
+    placed = mixing.mix(docs, MIX_UNITS, MIX_BLOCK_ROWS, keep=[c for c in columns if c != "doc_id"])
+    return placed.repartitionByRange("slot", "seat").sortWithinPartitions("slot", "seat").select(*columns)
+
+
+def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_digests(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
@@ -88,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html": op5_html,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
