@@ -89,7 +89,7 @@ def class_neighbourhood(graph: GraphStore, name: str, depth: int) -> list[tuple[
         down = edges.join(F.broadcast(near.withColumnRenamed("n", "dst")), "dst", "left_semi").select(F.col("src").alias("n"))
         near = near.union(up).union(down).distinct()
     kept = edges.join(near.withColumnRenamed("n", "src"), "src", "left_semi").join(near.withColumnRenamed("n", "dst"), "dst", "left_semi")
-    return [(r[0], r[1], r[2]) for r in kept.orderBy("edge_ord", "src", "dst").collect()]
+    return [(r[0], r[1], r[2]) for r in kept.select("src", "dst", "edge_ord").orderBy("edge_ord", "src", "dst").collect()]
 
 
 def hierarchy(edges: list[tuple[str, str, int]], name: str, depth: int = 1, most: int = 250) -> dict:
