@@ -1,45 +1,21 @@
-"""What the training-data operators share: the shared folder, written intermediate tables, column picks."""
+"""What the training-data operators share: written intermediate tables, the package on executors, column picks."""
 
 from __future__ import annotations
 
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
-WORD_GAP = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+from codeloom.plans.tables import written as materialize
 
-    Where it is unset, a local master gets a temporary folder; a cluster has no folder that
-    could be guessed, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="codeloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+__all__ = ["WORD_GAP", "materialize", "partitions", "ship", "table", "text_or_empty"]
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    Cuts the lineage, survives lost executors and gives the planner the table's true size.
-    The files stay until the shared folder is cleared: the frame returned is lazy.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
+WORD_GAP = r"[\x20\x09-\x0D]"
 
 
 def ship(spark: SparkSession) -> None:

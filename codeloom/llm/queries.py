@@ -187,7 +187,22 @@ SELECT f.page_id, f.host, f.path, fit.rule, coalesce(fit.verdict, CASE WHEN hit.
 FROM f LEFT JOIN fit USING (page_id) LEFT JOIN hit USING (page_id)
 """
 
+#: Every pair that shares a shingle is counted; links are followed by recursion.
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * shared >= 75 * (na + nb - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, least(g.doc_id, coalesce(m.least, g.doc_id)) AS component_id FROM g LEFT JOIN m ON m.a = g.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_ngram_join": _OP7,
     "op3_url_rules": _OP3.format(
         url=_URL, x=_DIGITS.format("x"), least=URL_MINING["least_rows"], support=URL_MINING["support"], confidence=URL_MINING["confidence"],
         rules=", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in SITE_RULES),
