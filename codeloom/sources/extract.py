@@ -225,13 +225,22 @@ def _bases(text: str) -> list[str]:
 class CppPlugin(BracePlugin):
     language, extensions = "cpp", (".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".hxx")
 
-    def __init__(self, strip_macros: tuple[str, ...] = ()):
-        self.strip_macros = strip_macros
+    def __init__(self, strip_macros: tuple[str, ...] = (), strip_with_args: tuple[str, ...] = ()):
+        self.strip_macros, self.strip_with_args = strip_macros, strip_with_args
 
     def preprocess(self, text: str) -> str:
-        """Blanks the named macros, keeping every offset."""
+        """Blanks the named macros, some with their argument lists, keeping every offset and line."""
         for name in self.strip_macros:
             text = re.sub(rf"\b{re.escape(name)}\b", lambda m: " " * len(m.group()), text)
+        for name in self.strip_with_args:
+            clean = blank(text)
+            for m in re.finditer(rf"\b{re.escape(name)}\b\s*\(", clean):
+                end, depth = m.end(), 1
+                while end < len(clean) and depth:
+                    depth += (clean[end] == "(") - (clean[end] == ")")
+                    end += 1
+                if not depth:
+                    text = text[: m.start()] + re.sub(r"[^\n]", " ", text[m.start() : end]) + text[end:]
         return text
 
     def imports(self, text, clean, path, found, line) -> None:
@@ -378,5 +387,9 @@ class JavaPlugin(CSharpPlugin):
         return ""
 
 
-def default_registry() -> Registry:
-    return Registry([CppPlugin(), RustPlugin(), GoPlugin(), PythonPlugin(), CSharpPlugin(), JavaPlugin()])
+def default_registry(strip_macros: tuple[str, ...] = (), strip_with_args: tuple[str, ...] = (), extensions: dict[str, str] | None = None) -> Registry:
+    """The six languages; ``extensions`` gives further extensions to languages, or takes them from others."""
+    plugins = [CppPlugin(strip_macros, strip_with_args), RustPlugin(), GoPlugin(), PythonPlugin(), CSharpPlugin(), JavaPlugin()]
+    made = Registry(plugins)
+    made.by_extension |= {e: p for e, language in (extensions or {}).items() for p in plugins if p.language == language}
+    return made

@@ -14,6 +14,7 @@ from codeloom.functions.columns import symbol_id
 from codeloom.operators.resolve import resolve_calls, resolve_includes, symbol_index
 from codeloom.plans.store import GraphStore
 from codeloom.plans.tables import written
+from codeloom.sources.config import Config
 
 _PARSED = (
     "path string, language string, file_ord long, ok boolean, symbols array<struct<name string, kind string, line long, column long, end_line long, signature string, namespace string, parent string>>, "
@@ -60,13 +61,14 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content", F.lit(0).cast("long").alias("file_ord"), (F.unix_micros("modificationTime") * 1000).alias("mtime"))
 
 
-def parse(sources: DataFrame) -> DataFrame:
+def parse(sources: DataFrame, config: Config | None = None) -> DataFrame:
     """Symbols and raw edges of (path, content, file_ord); a file that fails gives a row with ``ok`` false."""
+    config = config or Config()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from codeloom.sources.extract import default_registry
 
-        registry = default_registry()
+        registry = default_registry(config.macro_strip, config.macro_strip_with_args, config.extensions)
         names_s = ("name", "kind", "line", "column", "end_line", "signature", "namespace", "parent")
         names_e = ("caller", "token", "kind", "line")
         schema = pa.schema([
@@ -93,9 +95,9 @@ def parse(sources: DataFrame) -> DataFrame:
     return sources.select("path", "content", "file_ord").mapInArrow(run, _PARSED)
 
 
-def index(sources: DataFrame) -> tuple[GraphStore, DataFrame]:
+def index(sources: DataFrame, config: Config | None = None) -> tuple[GraphStore, DataFrame]:
     """The resolved graph of (path, content, file_ord, mtime), and the paths that failed to parse."""
-    parsed = written(parse(sources), "parsed")
+    parsed = written(parse(sources, config), "parsed")
     base = parsed.where("ok")
     occurrences = base.select("path", "language", "file_ord", F.posexplode("symbols").alias("at", "s")).select(
         symbol_id(F.col("path"), F.col("s.parent"), F.col("s.name")).alias("id"), "s.name", "s.kind", F.col("path").alias("file"), "s.line", "s.column", "s.end_line", "s.signature", "s.namespace", "s.parent",

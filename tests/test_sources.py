@@ -59,6 +59,8 @@ def test_registry():
     with pytest.raises(ValueError):
         Registry([PythonPlugin(), PythonPlugin()])
     assert CppPlugin(("API",)).preprocess("class API X") == "class     X" and default_registry().find("/x.txt") is None
+    assert CppPlugin((), ("UP",)).preprocess('UP(a, (b), ")")\nint x;').split() == ["int", "x;"]
+    assert default_registry(extensions={".inl": "cpp"}).find("/a.INL").language == "cpp"
 
 
 def test_discover_index_watch(spark, tmp_path):
