@@ -15,12 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import materialize, ship, text_or_empty
-from codeloom.llm.ngram_join import steps
+from codeloom.llm.ngram_join import jaccard_components, steps
 
 # Letters that digits and symbols stand for.
 LOOKALIKES = {
@@ -200,7 +199,7 @@ def word_weights(counts: list[tuple[str, int, int]], positives: int, negatives:
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, lexicon_words: int = 5000, letter_words: int = 20_000, evidence: float = 16.0
 ) -> ToxicModel:
-    """A model from at most ``sample_rows`` labelled rows, those whose id's hash is least; copies and near copies among them count once.
+    """A model from at most ``sample_rows`` labelled rows, those whose id's hash is least; copies and near copies (components of ``jaccard_components``) of one label count once.
 
     Without rows of both labels the model scores every text alike, at the rate of the label. The driver gets at most
     ``letter_words`` words and ``lexicon_words`` toxic words, with their counts, and a pair of numbers for each sampled row.
@@ -208,19 +207,20 @@ def learn(
     ship(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(23)), id_col).limit(sample_rows)
-    rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), "y", text_or_empty(text_col).alias("text"))  # at most sample_rows rows
+    rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), "y", text_or_empty(text_col).alias("text"))  # at most sample_rows ids
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "toxic-rows")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(None, CharacterModel())
         for part in steps(batches, "text"):
             words = [sorted(reader.words(t)) for t in part.column("text").to_pylist()]
-            marks = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in ws), default=0) for ws in words]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(marks, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["id", "y", "mark", "words"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("y"), pa.array(words, pa.list_(pa.string()))], ["row", "id", "y", "words"])
 
-    # Texts that share the least hash of their words are taken for copies of one another: the first stands for them.
-    sample = materialize(rows.mapInArrow(read, "id long, y int, mark long, words array<string>"), "toxic-sample")
-    first = sample.groupBy("mark", "y").agg(F.min("id").alias("id")).select("id")
-    sample = materialize(sample.join(first, "id", "left_semi").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(29)), F.lit(2))), "toxic-distinct")
+    # Of near copies with one label, the row with the least id stands for all.
+    near = jaccard_components(rows, words=5, percent=75, id_col="row").select("row", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.lit(-1)).alias("component"))
+    first = rows.select("row", "id", "y").join(near, "row").groupBy("component", "y").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    sample = rows.mapInArrow(read, "row long, id long, y int, words array<string>")
+    sample = materialize(sample.join(first, "row", "left_semi").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(29)), F.lit(2))), "toxic-distinct")
     totals: dict[int, list[int]] = {f: [0, 0] for f in (0, 1)}
     for r in sample.groupBy("fold", "y").count().collect():
         totals[r["fold"]][r["y"]] += r["count"]

@@ -256,6 +256,19 @@ def test_toxicity(spark, judged):
     assert toxicity.score_documents(odd, none).count() == 3
 
 
+def test_toxicity_learns_from_rows_that_share_a_word(spark):
+    import xxhash
+
+    rnd = random.Random(11)
+    words = sorted((f"{a}{b}{c}word" for a in "bdfg" for b in "aeiou" for c in "lmnr"), key=lambda w: xxhash.xxh3_64_intdigest(w))
+    shared, plain = words[0], [w for w in words[1:] if xxhash.xxh3_64_intdigest(w) < xxhash.xxh3_64_intdigest("vileness")] + words[-20:]
+    data = [(i, " ".join([shared, *rnd.sample(plain, 10)] + ["vileness"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(160)]
+    data += [(1000 + i, f"{shared} copied passage {'again ' * (i % 3)}again", 1) for i in range(60)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.learn(frame, frame.select("doc_id", "toxic"))
+    assert set(model.weights) == {"vileness"}
+
+
 def test_co_training():
     rnd = np.random.default_rng(2)
     y = rnd.integers(0, 2, 600).astype(float)
