@@ -36,6 +36,16 @@ _STANDINS = re.escape("".join(LOOKALIKES))
 _MIXED = re.compile(rf"(?:{_LETTER}[{_STANDINS}*]+{_LETTER})|(?:^[{_STANDINS}]{_LETTER}{{2}})|(?:{_LETTER}{{2}}[{re.escape(''.join(c for c in LOOKALIKES if c not in '!$'))}]$)|(?:[a-z][$]$)")
 
 
+def trigrams(words: dict[str, float]) -> Counter[str]:
+    """The trigrams of words with their marks of start and end, weighted by the words' numbers."""
+    three: Counter[str] = Counter()
+    for word, n in words.items():
+        padded = f"^^{word}$"
+        for i in range(2, len(padded)):
+            three[padded[i - 2 : i + 1]] += n
+    return three
+
+
 @dataclass
 class CharacterModel:
     """A trigram model of words, with bigrams and unigrams behind it."""
@@ -46,14 +56,15 @@ class CharacterModel:
 
     @staticmethod
     def of(words: dict[str, float]) -> CharacterModel:
-        three, two, context, first = Counter(), Counter(), Counter(), Counter()
-        for word, n in words.items():
-            padded = f"^^{word}$"
-            for i in range(2, len(padded)):
-                three[padded[i - 2 : i + 1]] += n
-                context[padded[i - 2 : i]] += n
-                two[padded[i - 1 : i + 1]] += n
-                first[padded[i - 1]] += n
+        return CharacterModel.of_trigrams(trigrams(words))
+
+    @staticmethod
+    def of_trigrams(three: dict[str, float]) -> CharacterModel:
+        two, context, first = Counter(), Counter(), Counter()
+        for gram, n in three.items():
+            context[gram[:2]] += n
+            two[gram[1:]] += n
+            first[gram[1]] += n
         return CharacterModel({k: math.log(0.8 * v / context[k[:2]] + 0.2 * two[k[1:]] / first[k[1]]) for k, v in three.items()}, {k: math.log(0.2 * v / first[k[0]]) for k, v in two.items()})
 
     def step(self, before: str, letter: str) -> float:
@@ -196,13 +207,53 @@ def word_weights(counts: list[tuple[str, int, int]], positives: int, negatives:
     return found
 
 
+def letter_statistics(docs: DataFrame, text_col: str = "text", held_words: int = 500_000) -> tuple[dict[str, float], int]:
+    """The trigrams of the words of all documents, with their counts, and the number of documents.
+
+    A document counts each of its tokens once; obfuscated tokens are left out. A task holds about ``held_words`` distinct tokens
+    before it folds them. Trigrams are summed before the driver gets them: as many as the alphabets allow.
+    """
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter[str] = Counter()
+        rows = 0
+
+        def given() -> pa.RecordBatch:
+            words: Counter[str] = Counter()
+            for token, n in tokens.items():
+                plain = token.strip(_EDGE)
+                if not (_DRAWN.search(plain) or obfuscated(token) or obfuscated(plain)):
+                    for word in re.split(r"[\W_]+", plain):
+                        if word:
+                            words[word] += n
+            found = trigrams(words)
+            found[""] = rows
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+
+        for part in steps(batches, "text"):
+            rows += part.num_rows
+            for text in part.column("text").to_pylist():
+                tokens.update(set(text.lower().split()))
+            if len(tokens) > held_words:
+                yield given()
+                rows = 0
+        yield given()
+
+    counted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = {r["gram"]: float(r["n"]) for r in counted.collect()}
+    return found, int(found.pop("", 0))
+
+
 def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, lexicon_words: int = 5000, letter_words: int = 20_000, evidence: float = 16.0
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, lexicon_words: int = 5000, evidence: float = 16.0
 ) -> ToxicModel:
     """A model from at most ``sample_rows`` labelled rows, those whose id's hash is least; copies and near copies (components of ``jaccard_components``) of one label count once.
 
-    Without rows of both labels the model scores every text alike, at the rate of the label. The driver gets at most
-    ``letter_words`` words and ``lexicon_words`` toxic words, with their counts, and a pair of numbers for each sampled row.
+    The character model is made from the words of all of ``docs``. Without rows of both labels the model scores every text alike, at
+    the rate of the label. The driver gets the distinct trigrams of all words, at most ``lexicon_words`` toxic words, with their
+    counts, and a pair of numbers for each sampled row.
     """
     ship(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
@@ -230,19 +281,21 @@ def learn(
         "toxic-words",
     )
     positives, negatives = totals[0][1] + totals[1][1], totals[0][0] + totals[1][0]
-    letters: dict[str, float] = {r["w"]: float(r["n"]) for r in words.select("w", F.expr("c00 + c01 + c10 + c11").alias("n")).orderBy(F.desc("n"), "w").limit(letter_words).collect()}
+    letters, documents = letter_statistics(docs, text_col)
     likely = words.where("c01 + c11 >= 3").withColumn("lift", F.expr("(c01 + c11) * (c01 + c11) / (c00 + c01 + c10 + c11)")).orderBy(F.desc("lift"), "w").limit(lexicon_words).collect()
     weights = word_weights([(r["w"], r["c01"] + r["c11"], r["c00"] + r["c10"]) for r in likely], positives, negatives, evidence)
     if not positives or not negatives or not weights:
         rate = (positives + 0.5) / (positives + negatives + 1)
-        return ToxicModel({}, CharacterModel.of(letters), math.log(rate / (1 - rate)), (0.0, 0.0))
-    for word in weights:
-        letters[word] = letters.get(word, 0.0) + 200.0
+        return ToxicModel({}, CharacterModel.of_trigrams(letters), math.log(rate / (1 - rate)), (0.0, 0.0))
+    # A toxic word has the weight of 200 rows of the sample, in proportion to all documents.
+    scale = max(1.0, documents / (positives + negatives))
+    for gram, n in trigrams(dict.fromkeys(weights, 200.0 * scale)).items():
+        letters[gram] = letters.get(gram, 0.0) + n
     # The curve is fitted to rows scored with the words of the other fold.
     halves = {f: word_weights([(r["w"], r[f"c{1 - f}1"], r[f"c{1 - f}0"]) for r in likely], totals[1 - f][1], totals[1 - f][0], evidence / 2) for f in (0, 1)}
     vocabulary = sorted({w for h in halves.values() for w in h})
     held = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    model = ToxicModel(weights, CharacterModel.of(letters), 0.0, (1.0, 1.0))
+    model = ToxicModel(weights, CharacterModel.of_trigrams(letters), 0.0, (1.0, 1.0))
     x, y = [], []
     for r in sample.select("fold", "y", F.array_intersect("words", held).alias("hits")).collect():
         half = ToxicModel(halves[r["fold"]], model.letters, 0.0, (1.0, 1.0))

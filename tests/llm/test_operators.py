@@ -286,3 +286,13 @@ def test_quality_frames(spark, docs, rows, empty):
     got = cotraining.score_quality(with_nulls(spark, rows), model).collect()
     assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got)
     assert cotraining.score_quality(empty, cotraining.train(empty, labels.limit(0))).count() == 0
+def test_toxicity_reads_letters_of_all_documents(spark, judged):
+    more = spark.createDataFrame([(10_000 + i, "the xylophone plays") for i in range(50)], "doc_id long, text string")
+    docs = judged.select("doc_id", "text").union(more)
+    model = toxicity.learn(docs, judged.select("doc_id", "toxic"))
+    assert toxicity.decode("xy1ophone", model.letters) == "xylophone" and {"idiot", "moron", "stupid"} <= set(model.weights)
+    counts, rows = toxicity.letter_statistics(more.union(spark.createDataFrame([(1, None), (2, "a1d10t so stuuupid")], more.schema)))
+    want = toxicity.trigrams({"the": 50, "xylophone": 50, "plays": 50, "so": 1})
+    assert rows == 52 and counts == want
+
+
