@@ -3,8 +3,8 @@
 A page is cut into blocks of text, each with the path of block elements from the root to it. Text
 length and punctuation are summed by path and divided by the path's blocks; the two ratios are
 smoothed along the page, fused and held against a threshold. The element that holds most of what
-passes is the article, and all its blocks are content. Elements that are boilerplate by their kind or
-name never take part.
+passes is the article, and all its blocks are content. Elements that are boilerplate by their kind never take part, nor do those
+that are so by name, unless they hold an article or most of the page's text.
 """
 
 from __future__ import annotations
@@ -39,27 +39,55 @@ _RAW = frozenset("script style noscript template iframe textarea title xmp noemb
 _PRUNED = frozenset("head nav header footer aside form menu dialog button select option svg canvas object audio video map script style noscript template iframe textarea title xmp noembed noframes".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS_P = frozenset("table td th li dd dt body html".split())
-#: Parts of class, id and role values that name boilerplate.
+#: Elements that no name prunes: the page, its article and headings.
+_WHOLE = frozenset(("html", "body", "main", "article"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Words of class, id and role values that name boilerplate.
 _NAMED = re.compile(
-    r"(?i)(?:^|[\s_\-\"'=])(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|nav|navbar|navigation|menus?"
+    r"(?:ads?|adverts?|advertisements?|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|notices?|alerts?|nav|navbar|navigation|menus?"
     r"|sidebars?|breadcrumbs?|footers?|headers?|masthead|comments?|disqus|replies|respond|shares?|sharing|social|related|recommended|popups?|modals?|newsletters?|subscribe|subscription"
-    r"|widgets?|toolbar|pagination|pager|skip|contentinfo|complementary|search|login|signup)(?=$|[\s_\-\"'])"
+    r"|widgets?|toolbar|pagination|pager|skip|contentinfo|complementary|search|login|signup)"
+)
+#: Words that stand beside them in names of the same kind: a name with any other word says something else.
+_BESIDE = re.compile(
+    r"(?:site|global|main|primary|secondary|top|bottom|left|right|upper|lower|mobile|desktop|sticky|box|block|area|list|section|container|wrap|wrapper|inner|outer|row|col|bar|slot|unit|items?"
+    r"|links?|posts?|articles|stories|content|to|form|field|input|buttons?|btn|icons?|group|panel|overlay|thread|feed|text|label|messages?|\d+)"
 )
 _ATTRIBUTE = re.compile(r"(?i)(?:^|\s)(class|id|role|aria-hidden|style|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?(?=[\s/]|$)")
 _PUNCTUATION = re.compile("[.,;:!?。，、；：！？…]")
 _MAIN = frozenset(("article", "main"))
 
 
+def _named(value: str) -> bool:
+    """Whether a name of the value is made of words for boilerplate, and words that go with them, alone."""
+    for name in value.lower().split():
+        words = [w for w in re.split("[-_]+", name) if w]
+        if any(map(_NAMED.fullmatch, words)) and all(_NAMED.fullmatch(w) or _BESIDE.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 def _is_named(attributes: str) -> bool:
+    return any(name.lower() in ("class", "id", "role") and _named(value.strip("\"'")) for name, value in _ATTRIBUTE.findall(attributes))
+
+
+def _is_hidden(attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role") and _NAMED.search(value):
-            return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none", value):
             return True
     return False
 
 
+_HOLDS_MAIN = re.compile(r"(?i)<(?:article|main)(?=[\s/>])")
+_NO_TEXT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|a)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)")
+
+
+def _mass(markup: str) -> int:
+    """The length of the text outside links, without white space."""
+    return sum(map(len, _NO_TEXT.sub(" ", markup).split()))
+
+
 class _Blocks:
     """The blocks of a page: text, path of element numbers, path of tags, length of link text, inside an article."""
 
@@ -74,6 +102,7 @@ class _Blocks:
         # Of each open element: tag, number, and whether it is pruned; block elements make the path.
         self.open: list[tuple[str, int, bool]] = []
         self.count = 0
+        self.mass = -1  # of the page, when it was needed
         self._read(page)
 
     def _flush(self) -> None:
@@ -109,6 +138,25 @@ class _Blocks:
                 return -1
         return -1
 
+    def _boilerplate(self, page: str, tag: str, attributes: str, at: int) -> bool:
+        """Whether the attributes prune the element opened before ``at``: not if it holds an article or most of the page's text."""
+        if tag in _WHOLE:
+            return False
+        hidden = _is_hidden(attributes)
+        if not hidden and (tag in _HEADINGS or not _is_named(attributes)):
+            return False
+        if self.open and self.open[-1][2]:
+            return True
+        end = _end_of(page, tag, at)
+        end = len(page) if end < 0 else end
+        if not any(e[0] in _MAIN for e in self.open) and _HOLDS_MAIN.search(page, at, end):
+            return False
+        if hidden:
+            return True
+        if self.mass < 0:
+            self.mass = _mass(page)
+        return 2 * _mass(page[at:end]) <= self.mass
+
     def _read(self, page: str) -> None:
         at = 0
         while True:
@@ -157,7 +205,7 @@ class _Blocks:
                 i = self._last(("p",), _KEEPS_P)
                 if i >= 0:
                     self._pop(i)
-            pruned = tag in _PRUNED or bool(rest) and _is_named(rest)
+            pruned = tag in _PRUNED or bool(rest) and self._boilerplate(page, tag, rest, at)
             if pruned and not (self.open and self.open[-1][2]):
                 end = _end_of(page, tag, at)
                 if end >= 0:

@@ -137,6 +137,15 @@ def test_html():
     assert html_text.main_text(bare) == "T\n" + "\n".join(["Some words, and more; here."] * 5)
 
 
+@pytest.mark.parametrize("opened, closed", [
+    ("<html class='no-js cookies'><body>", ""), ("<body class='has-sidebar'>", "</body>"), ("<body class='sidebar'>", "</body>"), ("<article class='post comments-open'>", "</article>"), ("<article class='related'>", "</article>"),
+    ("<div class='layout-no-sidebar'>", "</div>"), ("<div class='sidebar'><article>", "</article></div>"), ("<div id='search'>", "</div>"),
+])
+def test_html_wrappers_stay(opened, closed):
+    page = f"<div class='ad-slot'>buy</div>{opened}<h2 id='related-work'>Work</h2><section id='search-algorithms'><p>Some text, that is long.</p></section><p>More of it, and more.</p><div class='social-links'>s</div>{closed}"
+    assert html_text.main_text(page) == "Work\nSome text, that is long.\nMore of it, and more."
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "u", "<p>x &lt; y</p>"), (2, "u", "<p>x &lt; y</p>")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.url, r.text) for r in html_text.extract_pages(pages).collect() if r.url) == [(2, "u", "x < y")] * 2
