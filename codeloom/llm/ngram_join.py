@@ -303,13 +303,13 @@ def jaccard_components(
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        seen: set[int] = set()  # sets of this task, whose prefix has been given
+        seen: set[int] = set()  # sets of this task, whose prefix has been given for a row with an id
         none = np.empty(0, np.uint64)
         for part in steps(batches, "text"):
             sets = shingler.sets(part.column("text").to_pylist())
             marks, rare, often = [digest(s) for s in sets], [], []
-            for s, (a, _) in zip(sets, marks):
-                if a in seen or not len(s):
+            for row, s, (a, _) in zip(part.column("id").to_pylist(), sets, marks):
+                if row is None or a in seen or not len(s):
                     rare.append(none)
                     often.append(none)
                     continue

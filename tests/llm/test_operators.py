@@ -201,6 +201,14 @@ def test_join_edges(spark, rows, empty):
     assert len(odd) == len(rows) + 3 and all(r.component_id is None for r in odd if r.doc_id is None)
 
 
+def test_join_with_a_null_copy_ahead(spark):
+    text = [f"w{i}" for i in range(60)]
+    near = text[:-1] + ["other"]
+    frame = spark.createDataFrame([(None, " ".join(text)), (5, " ".join(text)), (9, " ".join(near))], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame).collect()}
+    assert got == {None: None, 5: 5, 9: 5}
+
+
 def test_search_finds_every_link():
     rnd = random.Random(9)
     sets = []
@@ -278,6 +286,16 @@ def test_toxicity_learns_from_rows_that_share_a_word(spark):
     assert set(model.weights) == {"vileness"}
 
 
+def test_toxicity_reads_letters_of_all_documents(spark, judged):
+    more = spark.createDataFrame([(10_000 + i, "the xylophone plays") for i in range(50)], "doc_id long, text string")
+    docs = judged.select("doc_id", "text").union(more)
+    model = toxicity.learn(docs, judged.select("doc_id", "toxic"))
+    assert toxicity.decode("xy1ophone", model.letters) == "xylophone" and {"idiot", "moron", "stupid"} <= set(model.weights)
+    counts, rows = toxicity.letter_statistics(more.union(spark.createDataFrame([(1, None), (2, "a1d10t so stuuupid")], more.schema)))
+    want = toxicity.trigrams({"the": 50, "xylophone": 50, "plays": 50, "so": 1})
+    assert rows == 52 and counts == want
+
+
 def test_co_training():
     rnd = np.random.default_rng(2)
     y = rnd.integers(0, 2, 600).astype(float)
@@ -295,13 +313,3 @@ def test_quality_frames(spark, docs, rows, empty):
     got = cotraining.score_quality(with_nulls(spark, rows), model).collect()
     assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got)
     assert cotraining.score_quality(empty, cotraining.train(empty, labels.limit(0))).count() == 0
-def test_toxicity_reads_letters_of_all_documents(spark, judged):
-    more = spark.createDataFrame([(10_000 + i, "the xylophone plays") for i in range(50)], "doc_id long, text string")
-    docs = judged.select("doc_id", "text").union(more)
-    model = toxicity.learn(docs, judged.select("doc_id", "toxic"))
-    assert toxicity.decode("xy1ophone", model.letters) == "xylophone" and {"idiot", "moron", "stupid"} <= set(model.weights)
-    counts, rows = toxicity.letter_statistics(more.union(spark.createDataFrame([(1, None), (2, "a1d10t so stuuupid")], more.schema)))
-    want = toxicity.trigrams({"the": 50, "xylophone": 50, "plays": 50, "so": 1})
-    assert rows == 52 and counts == want
-
-
