@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
-from codeloom.llm.common import table
+from codeloom.llm.common import materialize, table
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
 MIX_UNITS = {"src0": 20, **{f"src{i}": 9 for i in range(1, 20)}, mixing.OTHER: 9}
@@ -93,15 +93,26 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    dropped = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts, one row: of those with the largest id, the least by all columns."""
+    columns = docs.columns
+    judged = exact_dedup.exact_dedup(docs).where("group_size > 1").select(F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_keep"))
+    classes = materialize(judged.distinct(), "dedup-classes")
+    rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    lone = rows.join(classes, "_digest", "left_anti").select(*columns)
+    tied = rows.join(classes, "_digest").where(F.col("doc_id").eqNullSafe(F.col("_keep")))
+    return lone.unionByName(tied.groupBy("_digest").agg(F.min(F.struct(*columns)).alias("row")).select("row.*"))
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest id."""
-    dropped = ngram_join.jaccard_components(docs, words=5, percent=75).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near copies, one row: the first of those with the smallest id; rows without id come last."""
+    columns = docs.columns
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    linked = materialize(ngram_join.jaccard_components(rows, words=5, percent=75, id_col="_row").select("_row", "component_id"), "near-linked")
+    several = linked.join(linked.where("_row <> component_id").select("component_id").distinct(), "component_id", "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = several.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    dropped = several.join(first, "_row", "left_anti").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(*columns)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_tokens(stages):
     for r in stages[5].orderBy(F.col("doc_id")).limit(50).collect():
         ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_repeated_and_null_ids(spark):
+    from codeloom.llm import queries
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda word: " ".join([*base[:-1], word])
+    rows = [(7, "A"), (9, "A"), (7, "B"), (3, "C"), (3, "C"), (None, "D"), (None, "D"), (None, "E"), (2, "E"), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in queries.stage_dedup(spark, frame, SF).collect()]
+    assert sorted(got, key=str) == sorted([(9, "A"), (7, "B"), (3, "C"), (None, "D"), (2, "E"), (None, "")], key=str)
+    rows = [(7, near("x")), (5, near("y")), (7, "B"), (8, near("z")), (5, near("v")), (None, near("u")), (None, "lone")]
+    got = [(r.doc_id, r.text) for r in queries.stage_near(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), SF).collect()]
+    assert sorted(got, key=str) == sorted([(5, near("y")), (7, "B"), (None, "lone")], key=str)
