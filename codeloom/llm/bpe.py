@@ -16,12 +16,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ship, text_or_empty
+from codeloom.llm.common import ship, steps, text_or_empty
 
 _NONE = np.int64(2**31 - 1)
 #: Separators for str.split() that the vocabulary's pattern for white space does not know.
@@ -220,7 +219,7 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 4 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded) of every row: ids packed as little-endian unsigned 32-bit integers, and the text that they decode to.
 
     Whole texts are encoded, without limit or padding; special tokens in a text become their ids.
@@ -230,18 +229,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).to_pylist()
-            at = 0
-            while at < batch.num_rows:
-                held, to = 0, at
-                while to < batch.num_rows and (to == at or held + sizes[to] <= step_bytes):
-                    held += sizes[to]
-                    to += 1
-                part = batch.slice(at, to - at)
-                coded = coder.encode_batch(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in coded], pa.binary()), pa.array([b for _, b in coded], pa.string())], ["id", "ids", "decoded"])
-                at = to
+        for part in steps(batches, "text"):
+            coded = coder.encode_batch(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([a for a, _ in coded], pa.binary()), pa.array([b for _, b in coded], pa.string())], ["id", "ids", "decoded"])
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

@@ -6,16 +6,21 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.plans.tables import written as materialize
 
-__all__ = ["WORD_GAP", "materialize", "partitions", "ship", "table", "text_or_empty"]
+__all__ = ["WORD_GAP", "materialize", "partitions", "ship", "steps", "table", "text_or_empty"]
 
 #: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]"
+#: A worker's slice of texts holds about so many bytes.
+_STEP_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,3 +52,17 @@ def text_or_empty(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``_STEP_BYTES`` of text."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
+        at = 0
+        while at < batch.num_rows:
+            held, to = 0, at
+            while to < batch.num_rows and (to == at or held + sizes[to] <= _STEP_BYTES):
+                held += sizes[to]
+                to += 1
+            yield batch.slice(at, to - at)
+            at = to

@@ -16,8 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, ship, text_or_empty
-from codeloom.llm.ngram_join import steps
+from codeloom.llm.common import materialize, ship, steps, text_or_empty
 from codeloom.llm.toxicity import fit_logistic
 
 TEXT_SIZE, META_SIZE = 136, 66

@@ -1,10 +1,11 @@
 """Main-text extraction by tag-path ratios.
 
-A page is cut into blocks of text, each with the path of block elements from the root to it. Text
-length and punctuation are summed by path and divided by the path's blocks; the two ratios are
-smoothed along the page, fused and held against a threshold. The element that holds most of what
-passes is the article, and all its blocks are content. Elements that are boilerplate by their kind never take part, nor do those
-that are so by name, unless they hold an article or most of the page's text.
+A page becomes a tree of elements and a list of blocks of text, each with the tag path from the root to it. Text
+length and punctuation are summed by path and divided by the path's blocks; both ratios are smoothed
+along the page and fused, and the paths whose mean passes a threshold hold content. The element with most
+of that content is the article; in it, blocks of other paths stay only between content and only if they are not links.
+Elements that are boilerplate by their kind never take part, nor do those that are so by name, unless they hold an
+article or most of the page's text. Every step is linear in the page.
 """
 
 from __future__ import annotations
@@ -12,15 +13,13 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ship
+from codeloom.llm.common import ship, steps
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -31,7 +30,7 @@ _TOKEN = re.compile(
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
+    "a abbr acronym b bdi bdo big button canvas cite code data del dfn em font i img ins kbd label map mark object q rp rt ruby s samp select small span strike strong sub sup svg time tt u var video audio wbr nobr".split()
 )
 #: Elements whose text is not markup: everything up to the end tag belongs to them.
 _RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
@@ -39,6 +38,11 @@ _RAW = frozenset("script style noscript template iframe textarea title xmp noemb
 _PRUNED = frozenset("head nav header footer aside form menu dialog button select option svg canvas object audio video map script style noscript template iframe textarea title xmp noembed noframes".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _KEEPS_P = frozenset("table td th li dd dt body html".split())
+#: Elements of those kinds that some pages put around everything.
+_AROUND = frozenset(("form", "dialog", "object"))
+_LIST_ENDS = ("ul", "ol", "dl", "table", "article", "main", "section")
+#: Elements whose class is part of a path: what they hold says more than their tag.
+_CONTAINERS = frozenset("div section table tbody tr td ul ol dl".split())
 #: Elements that no name prunes: the page, its article and headings.
 _WHOLE = frozenset(("html", "body", "main", "article"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -79,91 +83,99 @@ def _is_hidden(attributes: str) -> bool:
     return False
 
 
-_HOLDS_MAIN = re.compile(r"(?i)<(?:article|main)(?=[\s/>])")
-_NO_TEXT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|a)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)")
+class _Tree:
+    """The elements of a page in page order, and its pieces of text by block.
 
-
-def _mass(markup: str) -> int:
-    """The length of the text outside links, without white space."""
-    return sum(map(len, _NO_TEXT.sub(" ", markup).split()))
-
-
-class _Blocks:
-    """The blocks of a page: text, path of element numbers, path of tags, length of link text, inside an article."""
+    Of each element: tag, parent, tag path (a number), whether an end tag closed it, whether its names say boilerplate or it is
+    hidden. Element 0 is the page. Of each piece: text, the element it is in, whether it is link text; blocks are runs of pieces.
+    """
 
     def __init__(self, page: str):
-        self.texts: list[str] = []
-        self.elements: list[tuple[int, ...]] = []
-        self.paths: list[str] = []
-        self.links: list[int] = []
-        self.main: list[bool] = []
-        self.held: list[str] = []
-        self.link_chars = 0
-        # Of each open element: tag, number, and whether it is pruned; block elements make the path.
-        self.open: list[tuple[str, int, bool]] = []
-        self.count = 0
-        self.mass = -1  # of the page, when it was needed
+        self.tags, self.parents, self.paths = [""], [0], [0]
+        self.closed, self.named, self.hidden = [True], [False], [False]
+        self.pieces: list[tuple[str, int, bool]] = []
+        self.blocks: list[tuple[int, int, int]] = []  # first piece, end, block element
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.open = [0]
+        self.block_at = [0]  # places of block elements in ``open``
+        self.places: dict[str, list[int]] = {}  # places in ``open`` by tag
+        self.link = -1  # the open element that makes text link text
+        self.first = 0
         self._read(page)
 
     def _flush(self) -> None:
-        if self.held:
-            text = " ".join("".join(self.held).split())
-            if text:
-                blocks = [e for e in self.open if e[0] not in _INLINE]
-                self.texts.append(text)
-                self.elements.append(tuple(e[1] for e in blocks))
-                self.paths.append("/".join(e[0] for e in blocks))
-                self.links.append(min(self.link_chars, len(text)))
-                self.main.append(any(e[0] in _MAIN for e in blocks))
-            self.held = []
-        self.link_chars = 0
+        if len(self.pieces) > self.first:
+            self.blocks.append((self.first, len(self.pieces), self.open[self.block_at[-1]]))
+            self.first = len(self.pieces)
 
     def _text(self, raw: str) -> None:
-        if raw and not (self.open and self.open[-1][2]):
-            text = html.unescape(raw) if "&" in raw else raw
-            self.held.append(text)
-            if any(e[0] == "a" for e in self.open):
-                self.link_chars += len(text.strip())
-
-    def _pop(self, at: int) -> None:
-        if any(e[0] not in _INLINE for e in self.open[at:]):
+        if raw:
+            self.pieces.append((html.unescape(raw) if "&" in raw else raw, self.open[-1], self.link >= 0))
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag not in _INLINE:
             self._flush()
-        del self.open[at:]
+            if tag in _CLOSES:
+                self._close(self._last(_CLOSES[tag], _LIST_ENDS))
+            self._close(self._last(("p",), _KEEPS_P))
+            self.block_at.append(len(self.open))
+        named = attributes and (tag not in _WHOLE and tag not in _HEADINGS) and _is_named(attributes)
+        label = tag
+        if attributes and tag in _CONTAINERS:
+            found = dict((n.lower(), v.strip("\"'")) for n, v in _ATTRIBUTE.findall(attributes))
+            label = f"{tag}.{' '.join(sorted(found.get('class', '').split()))}"
+        parent = self.open[-1]
+        path = self.paths[parent]
+        if tag not in _INLINE:
+            path = self.numbers.setdefault((path, label), len(self.numbers) + 1)
+        number = len(self.tags)
+        self.tags.append(tag)
+        self.parents.append(parent)
+        self.paths.append(path)
+        self.closed.append(False)
+        self.named.append(bool(named))
+        self.hidden.append(bool(attributes) and tag not in ("html", "body") and _is_hidden(attributes))
+        if tag == "a":
+            self.link = number if "href" in attributes.lower() else -1
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(number)
+
+    def _close(self, to: int) -> None:
+        """Closes the open elements from place ``to`` on; none if it is negative."""
+        if to < 0:
+            return
+        if self.block_at[-1] >= to:
+            self._flush()
+        while len(self.open) > to:
+            gone = self.open.pop()
+            self.places[self.tags[gone]].pop()
+            if self.block_at[-1] == len(self.open):
+                self.block_at.pop()
+            if gone == self.link:
+                self.link = -1
 
     def _last(self, tags: frozenset | set | tuple, stop: frozenset | tuple = ()) -> int:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                return i
-            if self.open[i][0] in stop:
-                return -1
-        return -1
-
-    def _boilerplate(self, page: str, tag: str, attributes: str, at: int) -> bool:
-        """Whether the attributes prune the element opened before ``at``: not if it holds an article or most of the page's text."""
-        if tag in _WHOLE:
-            return False
-        hidden = _is_hidden(attributes)
-        if not hidden and (tag in _HEADINGS or not _is_named(attributes)):
-            return False
-        if self.open and self.open[-1][2]:
-            return True
-        end = _end_of(page, tag, at)
-        end = len(page) if end < 0 else end
-        if not any(e[0] in _MAIN for e in self.open) and _HOLDS_MAIN.search(page, at, end):
-            return False
-        if hidden:
-            return True
-        if self.mass < 0:
-            self.mass = _mass(page)
-        return 2 * _mass(page[at:end]) <= self.mass
+        """The place of the innermost open element of some tags; -1 if one of ``stop`` is further in or there is none."""
+
+        def innermost(names: frozenset | set | tuple) -> int:
+            return max((self.places[t][-1] for t in names if self.places.get(t)), default=-1)
+
+        at = innermost(tags)
+        return at if at > innermost([t for t in stop if t not in tags]) else -1
+
+    def _end(self, tag: str) -> None:
+        at = self._last((tag,))
+        if at < 0:
+            return
+        if tag in _INLINE and self.block_at[-1] > at:  # blocks inside go on; only a link ends
+            self.link = -1 if tag == "a" else self.link
+            return
+        self.closed[self.open[at]] = True
+        self._close(at)
 
     def _read(self, page: str) -> None:
         at = 0
-        while True:
-            found = _TOKEN.search(page, at)
-            if not found:
-                self._text(page[at:])
-                break
+        while found := _TOKEN.search(page, at):
             self._text(page[at : found.start()])
             at = found.end()
             closing, tag, rest = found.group(1), found.group(2), found.group(3)
@@ -177,111 +189,110 @@ class _Blocks:
                     continue  # the page ends inside a tag
             tag = tag.lower()
             if closing:
-                i = self._last((tag,))
-                if i >= 0:
-                    self._pop(i)
-                continue
-            if tag == "br" or tag == "hr":
+                self._end(tag)
+            elif tag == "br":
                 self._text(" ")
-                if tag == "hr":
-                    self._flush()
-                continue
-            if tag in _VOID:
-                continue
-            if tag in _RAW:
-                end = next((m for m in _edges(tag).finditer(page, at) if m.group(1)), None)
+            elif tag == "hr":
+                self._flush()
+            elif tag in _RAW:
+                end = _raw_end(tag).search(page, at)
                 stop = page.find(">", end.end()) if end else -1
                 at = len(page) if stop < 0 else stop + 1
-                continue
-            if tag not in _INLINE:
-                self._flush()
-                if tag in _MAIN:  # an open pruned element has no end tag; it ends here at the latest
-                    i = next((i for i, e in enumerate(self.open) if e[2]), len(self.open))
-                    self._pop(i)
-                if tag in _CLOSES:
-                    i = self._last(_CLOSES[tag], ("ul", "ol", "dl", "table", "article", "main", "section"))
-                    if i >= 0:
-                        self._pop(i)
-                i = self._last(("p",), _KEEPS_P)
-                if i >= 0:
-                    self._pop(i)
-            pruned = tag in _PRUNED or bool(rest) and self._boilerplate(page, tag, rest, at)
-            if pruned and not (self.open and self.open[-1][2]):
-                end = _end_of(page, tag, at)
-                if end >= 0:
-                    at = end
-                    continue
-            self.count += 1
-            self.open.append((tag, self.count, pruned or bool(self.open and self.open[-1][2])))
+            elif tag not in _VOID:
+                self._start(tag, rest)
+        self._text(page[at:])
         self._flush()
 
+    def pruned(self) -> list[bool]:
+        """Whether each element is boilerplate, or in some that is."""
+        n = len(self.tags)
+        mass = [0] * n  # text outside links
+        for text, e, linked in self.pieces:
+            if not linked:
+                mass[e] += sum(map(len, text.split()))
+        for e in range(n - 1, 0, -1):
+            mass[self.parents[e]] += mass[e]
+        # What lies around the largest article.
+        above_main, gone = set(), [False] * n
+        largest = max((e for e in range(1, n) if self.tags[e] in _MAIN), key=lambda e: (mass[e], -e), default=0)
+        while largest:
+            largest = self.parents[largest]
+            above_main.add(largest)
+        for e in range(1, n):
+            above, tag = self.parents[e], self.tags[e]
+            most, around = 2 * mass[e] > mass[0], e in above_main
+            kind = tag in _PRUNED and not (most and tag in _AROUND) and not (not self.closed[e] and (around or most))
+            gone[e] = gone[above] or kind or self.hidden[e] and not around or self.named[e] and not (around or most)
+        return gone
+
+
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])")
+
 
 def _smooth(values: np.ndarray) -> np.ndarray:
     """Each value averaged with its neighbours, 1 : 2 : 1; the ends stand in for what lies beyond them."""
     return (np.concatenate((values[:1], values[:-1])) + 2 * values + np.concatenate((values[1:], values[-1:]))) / 4
 
 
-def _end_of(page: str, tag: str, at: int) -> int:
-    """Where the element that was opened before ``at`` ends; -1 if its end tag is missing."""
-    level = 1
-    for found in _edges(tag).finditer(page, at):
-        level += -1 if found.group(1) else 1
-        if not level:
-            stop = page.find(">", found.end())
-            return -1 if stop < 0 else stop + 1
-    return -1
-
-
-@lru_cache(256)
-def _edges(tag: str) -> re.Pattern:
-    return re.compile(rf"(?i)<(/?){re.escape(tag)}(?=[\s/>])")
-
-
 def main_text(page: str, strength: float = 0.5) -> str:
     """The article's blocks in page order, one to a line; empty if there are none.
 
-    ``strength`` times the fused ratios' standard deviation is the threshold, as far as the largest passes it.
+    ``strength`` times the standard deviation of the blocks' fused ratios is the threshold of a path's mean, as far as the largest passes it.
     """
-    blocks = _Blocks(page)
-    n = len(blocks.texts)
-    if not n:
+    tree = _Tree(page)
+    gone = tree.pruned()
+    texts, owners, links = [], [], []
+    for first, end, owner in tree.blocks:
+        kept = [p for p in tree.pieces[first:end] if not gone[p[1]]]
+        text = " ".join("".join(p[0] for p in kept).split())
+        if text:
+            texts.append(text)
+            owners.append(owner)
+            links.append(min(len(text), sum(len(p[0].strip()) for p in kept if p[2])))
+    if not texts:
         return ""
-    number: dict[str, int] = {}
-    path = np.array([number.setdefault(p, len(number)) for p in blocks.paths])
-    paths = list(number)
-    length = np.array([len(t) for t in blocks.texts], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for t in blocks.texts], float)
-    nodes = np.bincount(path, minlength=len(paths))
-    length_ratio = (np.bincount(path, length, len(paths)) / nodes)[path]
-    mark_ratio = (np.bincount(path, marks, len(paths)) / nodes)[path]
-    link_share = np.bincount(path, np.array(blocks.links, float), len(paths)) / np.maximum(1, np.bincount(path, length, len(paths)))
-    fused = _smooth(length_ratio) * (1 + _smooth(mark_ratio)) * (1 - link_share[path])
-    allowed = np.array(blocks.main) if any(blocks.main) else np.ones(n, bool)
-    fused = np.where(allowed, fused, 0)
-    content = (fused >= min(strength * fused.std(), fused.max())) & allowed & (fused > 0)
+    _, path = np.unique([tree.paths[e] for e in owners], return_inverse=True)
+    nodes = np.bincount(path)
+    length = np.array([len(t) for t in texts], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in texts], float)
+    total = np.bincount(path, length)
+    link_share = np.bincount(path, np.array(links, float)) / total
+    # The ratios of each block's path, smoothed along the page, fused by their geometric mean.
+    fused = np.sqrt(_smooth((total / nodes)[path]) * (1 + _smooth((np.bincount(path, marks) / nodes)[path]))) * (1 - link_share[path])
+    mean = np.bincount(path, fused) / nodes
+    passed = mean >= min(strength * fused.std(), mean.max())
+    content = (passed & (mean > 0))[path]
     if not content.any():
-        content = allowed
-    # Lists of links that fail the threshold go; without an article element, so does all outside
-    # the deepest element that holds most of the content's text.
-    linked = (link_share[path] >= 0.8) & ~content
-    mass: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for i in np.flatnonzero(content):
-        for d, e in enumerate(blocks.elements[i]):
-            mass[e] = mass.get(e, 0.0) + length[i] * (1 - link_share[path[i]])
-            depth[e] = d
-    if not any(blocks.main):
-        whole = sum(length[i] * (1 - link_share[path[i]]) for i in np.flatnonzero(content))
-        article = max((e for e in mass if mass[e] >= 0.8 * whole), key=lambda e: (depth[e], mass[e]), default=None)
-        chosen = next((p for p in blocks.elements if article in p), ())
-        at = chosen.index(article) if chosen else 0
+        return ""
+    inside = _article(tree, owners, content, length * (1 - link_share[path]))
+    at = np.flatnonzero(content & inside)
+    between = np.arange(len(texts))
+    between = (between > at[0]) & (between < at[-1])
+    kept = inside & (content | between & (link_share[path] < 0.5))
+    return "\n".join(texts[i] for i in np.flatnonzero(kept).tolist())
+
+
+def _article(tree: _Tree, owners: list[int], content: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether each block is in the article: the element of that kind with most content if it has half of all, else the deepest element with most of it."""
+    n = len(tree.tags)
+    mass, last = [0.0] * n, list(range(n))
+    for i in np.flatnonzero(content).tolist():
+        mass[owners[i]] += float(weight[i])
+    for e in range(n - 1, 0, -1):
+        above = tree.parents[e]
+        mass[above] += mass[e]
+        last[above] = max(last[above], last[e])
+    whole = mass[0]
+    article = max((e for e in range(1, n) if tree.tags[e] in _MAIN), key=lambda e: (mass[e], -e), default=0)
+    if not article or 2 * mass[article] < whole:
+        article = max(e for e in range(n) if mass[e] >= 0.8 * whole)
         # One paragraph can outweigh the rest: then the element around it is what was looked for.
-        if at > 0 and all(p[-1] == article for p in blocks.elements if article in p):
-            article = chosen[at - 1]
-        kept = [article is None or article in blocks.elements[i] for i in range(n)]
-    else:
-        kept = allowed.tolist()
-    return "\n".join(t for t, k, x in zip(blocks.texts, kept, linked.tolist()) if k and not x)
+        if article and all(e == article for e in owners if article <= e <= last[article]):
+            article = tree.parents[article]
+            while article and tree.tags[article] in _INLINE:
+                article = tree.parents[article]
+    return np.array([article <= e <= last[article] for e in owners])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -293,18 +304,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.binary_length(batch.column(2)).to_pylist()
-            at = 0
-            while at < batch.num_rows:
-                held, to = 0, at
-                while to < batch.num_rows and (to == at or held + sizes[to] <= 8 << 20):
-                    held += sizes[to]
-                    to += 1
-                part = batch.slice(at, to - at)
-                texts = [main_text(x) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
-                at = to
+        for part in steps(batches, "html"):
+            texts = [main_text(x) for x in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))

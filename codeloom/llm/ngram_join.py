@@ -14,18 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, ship, text_or_empty
+from codeloom.llm.common import materialize, ship, steps, text_or_empty
 from codeloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Texts that are shingled at a time hold about so many bytes.
-_STEP_BYTES = 4 << 20
 
 
 class Shingler:
@@ -67,20 +64,6 @@ def required(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``_STEP_BYTES`` of text."""
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).to_pylist()
-        at = 0
-        while at < batch.num_rows:
-            held, to = 0, at
-            while to < batch.num_rows and (to == at or held + sizes[to] <= _STEP_BYTES):
-                held += sizes[to]
-                to += 1
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def digest(shingles: np.ndarray) -> tuple[int, int]:
     whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
     return (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, ship, text_or_empty
-from codeloom.llm.ngram_join import jaccard_components, steps
+from codeloom.llm.common import materialize, ship, steps, text_or_empty
+from codeloom.llm.ngram_join import jaccard_components
 
 # Letters that digits and symbols stand for.
 LOOKALIKES = {

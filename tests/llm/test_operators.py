@@ -313,3 +313,58 @@ def test_quality_frames(spark, docs, rows, empty):
     got = cotraining.score_quality(with_nulls(spark, rows), model).collect()
     assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got)
     assert cotraining.score_quality(empty, cotraining.train(empty, labels.limit(0))).count() == 0
+
+
+PROSE = ["The first paragraph says a few things, and then some more.", "A second one, which is longer than the first; it goes on for a while, as such texts do.", "Short one.", "The last words of it all, at least here."]
+LAYOUTS = [
+    "<body><div class=top><a href=1>Home</a> <a href=2>News</a></div><div class=story>{text}</div><div class=rail><a href=3>Another story here</a><br><a href=4>More</a></div></body>",
+    "<body><table><tr><td class=l><a href=1>Home</a><p><a href=2>News</a></td><td class=m>{text}</td><td class=r><ul><li><a href=3>Another</a><li><a href=4>More</a></ul></td></tr></table></body>",
+    "<body><main><div id=content>{text}</div></main><section class=comments><article><p>I do not agree with any of this, at all.</p></article></section></body>",
+    "<body><form id=aspnet><input type=hidden><div><a href=1>Home</a></div><div class=c>{text}</div></form></body>",
+    "<body class=has-sidebar><nav>Home, News, and all the rest of it<article>{text}<aside><p>Related, and also good: this.</p></aside></article><footer>Copyright, us.",
+    "<body><header><h1>Site</h1></header><section><div><div>{text}</div></div></section><div class=cookie-notice><p>We use cookies, as all do.</p></div><script>x='<p>no</p>'</script></body>",
+    "<body><div><a href=1>One</a></div><article><div hidden>secret, hidden.</div>{text}<div class=share-buttons><a href=x>Tell a friend</a></div><ul class=tags><li><a href=t>tag</a></li></ul></article></body>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layouts(layout):
+    marked = "".join(f"<p>{p}</p>" for p in PROSE)
+    assert html_text.main_text(f"<html><head><title>t</title></head>{layout.format(text=marked)}</html>") == "\n".join(PROSE)
+
+
+def brute_paths(blocks, strength):
+    """Which of (path, text, link share) blocks hold content, by the definition, one block after the other."""
+    paths = [b[0] for b in blocks]
+    length, marks = ({p: sum(f(t) for q, t, _ in blocks if q == p) / paths.count(p) for p in paths} for f in (len, lambda t: len(re.findall("[.,;:!?]", t))))
+    share = {p: sum(len(t) * s for q, t, s in blocks if q == p) / sum(len(t) for q, t, _ in blocks if q == p) for p in paths}
+
+    def smooth(values, i):
+        return (values[max(0, i - 1)] + 2 * values[i] + values[min(len(values) - 1, i + 1)]) / 4
+
+    fused = [(smooth([length[p] for p in paths], i) * (1 + smooth([marks[p] for p in paths], i))) ** 0.5 * (1 - share[p]) for i, p in enumerate(paths)]
+    mean = {p: sum(f for f, q in zip(fused, paths) if q == p) / paths.count(p) for p in paths}
+    spread = (sum((f - sum(fused) / len(fused)) ** 2 for f in fused) / len(fused)) ** 0.5
+    return [mean[p] >= min(strength * spread, max(mean.values())) and mean[p] > 0 for p in paths]
+
+
+def test_html_thresholds_paths():
+    rnd = random.Random(8)
+    for _ in range(60):
+        blocks = [(rnd.choice(["h2", "p", "blockquote", "pre"]), " ".join(rnd.choices(["word", "other,", "third.", "x"], k=rnd.choice([1, 2, 30]))), 0) for _ in range(rnd.randint(2, 12))]
+        blocks += [("h3", "linked words here", 1)] * rnd.randint(0, 2)
+        page = "<article>" + "".join(f"<{p}>{'<a href=x>' * s}{t}{'</a>' * s}</{p}>" for p, t, s in blocks) + "</article>"
+        for strength in (0, 0.5, 1, 2, 1e9):
+            passed = brute_paths(blocks, strength)
+            ends = [i for i, x in enumerate(passed) if x]
+            want = [t for i, (_, t, s) in enumerate(blocks) if passed[i] or ends[0] < i < ends[-1] and s < 0.5]
+            assert html_text.main_text(page, strength) == "\n".join(want)
+
+
+def test_html_is_linear():
+    import time
+
+    began = time.time()
+    for page in ("<div>x" * 100_000, "<nav><ul>" + "<li class=ad><a href=x>y" * 50_000, '<a "' * 100_000, "<p class='x" * 50_000, "<b>x" * 100_000, "<td><p>x" * 50_000):
+        html_text.main_text(page)
+    assert time.time() - began < 60
