@@ -1,13 +1,12 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
-The distinct new words of a batch lie in one flat array of symbols. Each round finds every word's
-lowest-ranked adjacent pair (leftmost of equals), merges it and looks up the two pairs that this
+The distinct new words of a batch, of any length, lie in one flat array of symbols. Each round finds every word's
+lowest-ranked adjacent pair, merges it wherever the word has it and looks up the pairs that this
 made, by binary search over the sorted keys of all merges. Words drop out when no pair is left.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -27,13 +26,23 @@ _NONE = np.int64(2**31 - 1)
 _ODD_GAPS = "\x1c\x1d\x1e\x1f"
 _GAPS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
+# The letters and numbers that Unicode 16.0 added; the files' library knows them, later ones it does not.
+_NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# The small letters of capitals that Unicode 16.0 and 17.0 added.
+_NEW_SMALL = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
 
 class WordBpe:
     """The encoder of a vocabulary file of kind BPE with word ends, lower case and no white space."""
 
-    #: Words of more symbols are merged with a heap: rounds would be as many as symbols.
-    LONG = 256
-
     def __init__(self, path: str, cache_words: int = 400_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -56,6 +65,10 @@ class WordBpe:
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         # The file's pattern means Unicode's white space by \s, without the separators U+001C to U+001F.
         self.words = regex.compile(splits[0].replace(r"[^\s", r"[^\t-\r \x85\p{Z}"))
+        # Code points that the pattern's tables know and the files' library does not read as some other character.
+        known = {c for a, b in _NEW_LETTERS + _NEW_NUMBERS for c in range(a, b + 1)}
+        later = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and ord(c) not in known)
+        self.unknown = dict.fromkeys(map(ord, regex.findall(r"[\p{L}\p{N}\p{Z}]", later)), "\ue000")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
@@ -78,45 +91,41 @@ class WordBpe:
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words (UTF-8, not empty) one after another, and how many each word has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
+        own = np.arange(len(words))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(size > self.LONG):
-            ids = self._merge_long(words[i])
-            done.append((np.array([i]), np.array([len(ids)]), ids))
-        own = np.flatnonzero(size <= self.LONG)
-        if len(own):
-            size = size[own]
-            data = np.frombuffer(b"".join(words if len(own) == len(words) else [words[i] for i in own]), np.uint8)
-            symbols = self.inner[data]
-            ends = np.cumsum(size) - 1
-            symbols[ends] = self.last[data[ends]]
-            ranks = np.full(len(symbols), _NONE)
-            ranks[:-1] = self.rank(symbols[:-1], symbols[1:])
-            ranks[ends] = _NONE
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.inner[data]
+        ends = np.cumsum(size)
+        symbols[ends - 1] = self.last[data[ends - 1]]
+        ranks = np.full(len(symbols), _NONE)
+        ranks[:-1] = self.rank(symbols[:-1], symbols[1:])
+        ranks[ends - 1] = _NONE
         while len(own):
-            starts = np.cumsum(size) - size
-            least = np.minimum.reduceat((ranks << 31) | np.arange(len(ranks)), starts)
-            at = least & (2**31 - 1)
-            live = (least >> 31) != _NONE
+            lowest = np.minimum.reduceat(ranks, ends - size)
+            live = lowest != _NONE
             if not live.all():
                 keep = np.repeat(live, size)
                 done.append((own[~live], size[~live], symbols[~keep]))
-                shift = np.cumsum(~keep)
-                at = at[live]
-                at = at - shift[at]
-                symbols, ranks, own, size = symbols[keep], ranks[keep], own[live], size[live]
-                starts = np.cumsum(size) - size
+                symbols, ranks, own, size, lowest = symbols[keep], ranks[keep], own[live], size[live], lowest[live]
+                ends = np.cumsum(size)
+                if not len(own):
+                    break
+            word = np.repeat(np.arange(len(own)), size)
+            at = np.flatnonzero(ranks == lowest[word])
+            if len(at) > len(own):
+                at = self._apart(symbols, ranks, at, word[at], lowest, ends - size, ends)
+            word = word[at]
             symbols[at] = self.made[ranks[at]]
-            ranks[at] = ranks[at + 1]
+            ranks[at] = _NONE
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             symbols, ranks = symbols[keep], ranks[keep]
             at = at - np.arange(len(at))
-            starts = starts - np.arange(len(starts))
-            size = size - 1
-            after = at[at < starts + size - 1]
+            size = size - np.bincount(word, minlength=len(size))
+            ends = np.cumsum(size)
+            after = at[at + 1 < ends[word]]
             ranks[after] = self.rank(symbols[after], symbols[after + 1])
-            ranks[starts + size - 1] = _NONE
-            before = at[at > starts] - 1
+            before = at[at > (ends - size)[word]] - 1
             ranks[before] = self.rank(symbols[before], symbols[before + 1])
         count = np.zeros(len(words), np.int64)
         for index, sizes, _ in done:
@@ -128,35 +137,27 @@ class WordBpe:
             flat[np.repeat(first[index], sizes) + inside] = ids
         return flat, count
 
-    def _merge_long(self, word: bytes) -> np.ndarray:
-        """The same merges, taken from a heap over a linked list."""
-        data = np.frombuffer(word, np.uint8)
-        symbols = self.inner[data].copy()
-        symbols[-1] = self.last[data[-1]]
-        n = len(symbols)
-        first = self.rank(symbols[:-1], symbols[1:])
-        ids, following, previous = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(int(first[i]), int(i), ids[i], ids[i + 1]) for i in np.flatnonzero(first != _NONE)]
-        heapq.heapify(heap)
-
-        def push(i: int) -> None:
-            if i >= 0 and following[i] < n:
-                r = int(self.rank(np.array([ids[i]]), np.array([ids[following[i]]]))[0])
-                if r != _NONE:
-                    heapq.heappush(heap, (r, i, ids[i], ids[following[i]]))
-
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = following[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = int(self.made[r]), -1
-            following[i] = following[j]
-            if following[j] < n:
-                previous[following[j]] = i
-            push(previous[i])
-            push(i)
-        return np.array([x for x in ids if x >= 0], np.int64)
+    def _apart(self, symbols: np.ndarray, ranks: np.ndarray, at: np.ndarray, word: np.ndarray, lowest: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the places ``at`` of words' lowest pairs, those that a round may merge at once.
+
+        Places that overlap are taken from the left, every other one. Where a merge would make a lower pair, at any moment
+        between this round's merges, that pair would come first: such a word merges its leftmost place alone.
+        """
+        place = np.arange(len(at))
+        first = np.r_[True, at[1:] != at[:-1] + 1]
+        own = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+        at, word = at[own], word[own]
+        made = self.made[ranks[at]]
+        meets = at[1:] == at[:-1] + 2
+        meets &= word[1:] == word[:-1]
+        left = (at > starts[word]) & ~np.r_[False, meets]
+        right = at + 2 < ends[word]
+        lower = np.zeros(len(lowest), bool)
+        for a, b, owner in (
+            (symbols[at[left] - 1], made[left], word[left]), (made[right], symbols[at[right] + 2], word[right]), (made[:-1][meets], made[1:][meets], word[1:][meets]),
+        ):
+            lower[owner[self.rank(a, b) < lowest[owner]]] = True
+        return at[np.r_[True, word[1:] != word[:-1]] | ~lower[word]]
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens of ``ids``, special ones too, with a space between them: the file names no decoder."""
@@ -167,12 +168,12 @@ class WordBpe:
         parts: list[bytes] = []
         counts: list[int] = []
         for piece in pieces:
-            plain = (piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")).lower()
+            plain = (piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").translate(_NEW_SMALL)).lower()
             if plain.isalpha():
                 parts.append(plain.encode())
                 counts.append(1)
             else:
-                words = self.words.findall(plain)
+                words = self.words.findall(plain) if plain.isascii() else self._split(plain)
                 parts += [w.encode() for w in words]
                 counts.append(len(words))
         flat, sizes = self.merge_words(parts)
@@ -182,6 +183,11 @@ class WordBpe:
         self.ids.update({p: packed[4 * a : 4 * b] for p, a, b in zip(pieces, ends, ends[1:])})
         self.decoded.update({p: " ".join(names[a:b]) for p, a, b in zip(pieces, ends, ends[1:])})
 
+    def _split(self, plain: str) -> list[str]:
+        """The pattern's words, with characters that its library does not know read as other characters."""
+        known = plain.translate(self.unknown)
+        return self.words.findall(plain) if known == plain else [plain[m.start() : m.end()] for m in self.words.finditer(known)]
+
     def pieces(self, text: str) -> list[str]:
         """The text without its white space; special tokens stand alone."""
         parts = [text] if self.specials is None or "<|" not in text else self.specials.split(text)
@@ -219,7 +225,7 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 4 << 20) -> DataFrame:
     """(id, ids, decoded) of every row: ids packed as little-endian unsigned 32-bit integers, and the text that they decode to.
 
     Whole texts are encoded, without limit or padding; special tokens in a text become their ids.
@@ -229,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
-        for part in steps(batches, "text"):
+        for part in steps(batches, "text", step_bytes):
             coded = coder.encode_batch(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([a for a, _ in coded], pa.binary()), pa.array([b for _, b in coded], pa.string())], ["id", "ids", "decoded"])
 

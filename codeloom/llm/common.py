@@ -54,14 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``_STEP_BYTES`` of text."""
+def steps(batches: Iterator[pa.RecordBatch], column: str, step_bytes: int = _STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``step_bytes`` of text."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_pylist()
         at = 0
         while at < batch.num_rows:
             held, to = 0, at
-            while to < batch.num_rows and (to == at or held + sizes[to] <= _STEP_BYTES):
+            while to < batch.num_rows and (to == at or held + sizes[to] <= step_bytes):
                 held += sizes[to]
                 to += 1
             yield batch.slice(at, to - at)

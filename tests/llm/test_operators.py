@@ -233,6 +233,9 @@ def test_bpe(spark, docs, rows, empty):
     letters = "abcdefghijklmnopqrstuvwxyz'’ \n\tABCÉßΣσς0123!?#$%\x1c\x1f\x85\xa0\u0301\u0300日🙂"
     texts = ["", " ", "<|endoftext|>", "a<|startoftext|>B<|endoftext|>", "ΑΣ İ", "don't I'll", "a" * 3000, "#" * 700, "日本語 テスト"] + ["".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(300)]
     texts += ["".join(rnd.choices("aeiounrst", k=400)) for _ in range(5)]
+    # Long words, words of repeated pairs, and every code point beyond ASCII that is assigned late or not at all.
+    texts += ["".join(rnd.choices("aeiounrst", k=20_000)), "abc" * 9000, "thethethe" * 500] + ["".join(rnd.choices(["the", "er", "in", "a", "n"], k=150)) for _ in range(50)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)}b " for c in range(top, top + 64)) for low, high in ((0x500, 0x600), (0x1C80, 0x1CC0), (0xA780, 0xA800), (0x10D00, 0x10F00), (0x16D00, 0x16F00), (0x323C0, 0x32440)) for top in range(low, high, 64)]
     coder = bpe.WordBpe(path, cache_words=50)
     for _ in range(2):
         for text, (ids, decoded) in zip(texts, coder.encode_batch(texts)):
