@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom.plans.tables import written as materialize
 
-__all__ = ["WORD_GAP", "materialize", "partitions", "ship", "steps", "table", "text_or_empty"]
+__all__ = ["WORD_GAP", "join_split", "materialize", "partitions", "ship", "steps", "table", "text_or_empty"]
 
 #: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]"
@@ -42,6 +42,20 @@ def ship(spark: SparkSession) -> None:
     context._codeloom_shipped = True
 
 
+def join_split(rows: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", least: int = 1_000, most: int = 100_000) -> DataFrame:
+    """``rows`` with the columns of ``small``, which has one row a key and in ``weight`` the number of rows with that key.
+
+    Keys of more than ``least`` and more than a ``most``-th of all ``total`` rows are joined by broadcast, so that their rows meet in no
+    task: since their weights add up to ``total`` at most, there are ``most`` of them at most. All other keys are shuffled. ``how`` is inner or left.
+    """
+    limit = max(least, -(-total // most))
+    hot = small.where(F.col(weight) > limit).drop(weight)
+    cold = small.where(F.col(weight) <= limit).drop(weight)
+    few = rows.join(F.broadcast(hot), keys)  # at most ``most`` keys
+    many = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return few.unionByName(many)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

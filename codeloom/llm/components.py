@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize
+from codeloom.llm.common import join_split, materialize
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -13,19 +13,20 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
     Each round hooks a node's neighbours on the least of them, first the larger ones, then the
     smaller ones, and writes the edges; rounds end when the edges stay the same. Nulls and loops
-    are ignored. Least neighbours are found by aggregation, so that no node's edges meet in a task.
+    are ignored. Least neighbours are found by aggregation and joined by ``join_split``, so that no hub's edges meet in a task.
     """
     kept = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     kept = materialize(kept, tag)
-    before = None
+    before, total = None, kept.count()
     while True:
         both = kept.union(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_split(both.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialize(large.distinct(), tag)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_split(large, low, ["u"], "n", 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), tag)
         now = tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, total = now, now[0]

@@ -4,13 +4,17 @@ Texts that can link share many of the shingles whose hashes lie below a fixed cu
 says how many. Pairs with fewer are ruled out by counting over short lists; long lists hook those of their
 texts together that have enough shingles in long lists. The components that this leaves are cells that
 no link leaves. In each cell every document that may still join two components is a query: its short inverted lists are
-merged, its long ones are probed by binary search, and documents with the required overlap are linked.
+merged by a heap, its long ones are probed by binary search, and documents with the required overlap are linked. Large cells
+are dealt to slices, and only the documents outside a cell's largest component are searched for in all of them.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, ship, steps, text_or_empty
+from codeloom.llm.common import join_split, materialize, ship, steps, text_or_empty
 from codeloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -140,52 +144,71 @@ def hook_lists(batches: Iterator[pa.RecordBatch], short_list: int) -> Iterator[p
         yield found(*(np.concatenate(x) for x in zip(*held)), carried)
 
 
+def heap_merge(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+    """(item, n) of the items that ``least`` of the sorted lists have, in order, by a heap of the lists' heads.
+
+    Where too few lists have the least item, further heads are popped until only one fewer than ``least`` are missing from the heap; those
+    lists skip by binary search to the head that is left, as no item before it can be in enough of them.
+    """
+    k = len(lists)
+    at = [0] * k
+    heap = [x[0] * k + i for i, x in enumerate(lists)]
+    heapify(heap)
+    while len(heap) >= least:
+        top, popped = heap[0] // k, []
+        while heap and heap[0] // k == top:
+            popped.append(heappop(heap) % k)
+        if len(popped) >= least:
+            yield top, len(popped)
+            for i in popped:
+                at[i] += 1
+        else:
+            while len(popped) < least - 1 and heap:
+                popped.append(heappop(heap) % k)
+            if not heap:
+                return
+            bound = heap[0] // k
+            for i in popped:
+                at[i] = bisect_left(lists[i], bound, at[i])
+        for i in popped:
+            if at[i] < len(lists[i]):
+                heappush(heap, lists[i][at[i]] * k + i)
+
+
 class CellIndex:
-    """The inverted lists of a cell's sets, and T-occurrence search over them."""
+    """The inverted lists of some sets, and T-occurrence search over them."""
 
     def __init__(self, sets: list[np.ndarray], percent: int, weight: float = 1.0):
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.percent, self.weight = percent, weight
         flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.postings = owner[order]
-        first = np.r_[True, flat[order][1:] != flat[order][:-1]]
-        starts = np.flatnonzero(first)
-        self.ends = np.r_[starts[1:], len(flat)]
-        self.starts = starts
-        tokens = np.empty(len(flat), np.int64)
-        tokens[order] = np.cumsum(first) - 1
-        self.tokens = np.split(tokens, np.cumsum(self.sizes)[:-1])
-
-    def search(self, q: int) -> np.ndarray:
-        """The other sets that link with set ``q``.
-
-        DivideSkip: of the lists that ``q`` has, the L longest are put aside; a set with T shingles in
-        common is in T - L of the short lists at least. L follows from T and the longest list's length.
+        self.postings = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        flat = flat[order]
+        self.starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        self.ends = np.r_[self.starts[1:], len(flat)]
+        self.keys = flat[self.starts]
+
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """The sets that link with a sorted set, itself among them if it is there.
+
+        DivideSkip: of the query's lists, the L longest are put aside; a set with T shingles in common is in T - L of the short lists at
+        least. The short lists are merged by a heap, and what is in enough of them is probed for in the long ones. L follows
+        from T and the longest list's length.
         """
-        size = int(self.sizes[q])
+        size = len(query)
         least = required(size, self.percent)
-        own = self.tokens[q]
-        starts, ends = self.starts[own], self.ends[own]
-        length = ends - starts
-        shared = length > 1
-        starts, ends, length = starts[shared], ends[shared], length[shared]
-        if len(length) < least:
+        own = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        own = own[self.keys[own] == query]
+        if len(own) < least:
             return np.empty(0, np.int64)
-        order = np.argsort(length, kind="stable")
-        aside = min(least - 1, int(least / (self.weight * math.log2(int(length[order[-1]]) + 1) + 1)))
+        starts, ends = self.starts[own], self.ends[own]
+        order = np.argsort(ends - starts, kind="stable")
+        longest = int((ends - starts)[order[-1]])
+        aside = min(least - 1, int(least / (self.weight * math.log2(longest + 1) + 1)))
         short, long = order[: len(order) - aside], order[len(order) - aside :]
-        merged = np.concatenate([self.postings[a:b] for a, b in zip(starts[short].tolist(), ends[short].tolist())])
-        if len(merged) * 4 > len(self.sizes):
-            counts = np.bincount(merged, minlength=len(self.sizes))
-            found = np.flatnonzero(counts >= least - aside)
-            counts = counts[found]
-        else:
-            found, counts = np.unique(merged, return_counts=True)
-            found, counts = found[counts >= least - aside], counts[counts >= least - aside]
-        other = found != q
-        found, counts = found[other].astype(np.int64), counts[other]
+        merged = list(heap_merge([self.postings[starts[i] : ends[i]].tolist() for i in short.tolist()], least - aside))
+        found, counts = np.array([x for x, _ in merged], np.int64), np.array([n for _, n in merged], np.int64)
         # The overlap that the two sizes ask for.
         need = -(-self.percent * (size + self.sizes[found]) // (100 + self.percent))
         able = (need <= size) & (need <= self.sizes[found])
@@ -227,7 +250,7 @@ def link_cell(sets: list[np.ndarray], percent: int) -> np.ndarray:
             if root == find(largest) and weight[root] > 1:
                 waiting.append(q)
                 continue
-            for other in index.search(q).tolist():
+            for other in index.search(sets[q]).tolist():
                 a, b = find(q), find(other)
                 if a != b:
                     a, b = min(a, b), max(a, b)
@@ -241,9 +264,61 @@ def link_cell(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(x) for x in range(n)])
 
 
+Held = tuple[tuple, np.ndarray]
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, Iterator[Held]]]:
+    """Rows sorted by ``keys``, group by group: the key, and the rows' ``columns`` with their shingles, one after the other."""
+
+    def rows() -> Iterator[tuple[tuple, tuple, np.ndarray]]:
+        for batch in batches:
+            at = np.asarray(batch.column("shingles").offsets).tolist()
+            flat = batch.column("shingles").values.to_numpy(zero_copy_only=False).view(np.uint64)
+            named = zip(*(batch.column(c).to_pylist() for c in keys))
+            for i, (key, row) in enumerate(zip(named, zip(*(batch.column(c).to_pylist() for c in columns)))):
+                yield key, row, flat[at[i] : at[i + 1]].copy()
+
+    for key, group in groupby(rows(), lambda r: r[0]):
+        yield key, ((row, shingles) for _, row, shingles in group)
+
+
+def in_batches(rows: Iterator[tuple], names: list[str], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows of whole numbers as batches."""
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held)], names)
+
+
+def link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int, int]]:
+    """(a, b, root) of the sets of whole cells; the root is the component's least id."""
+    for _, rows in by_group(batches, ["cell"], ["id", "a", "b"]):
+        held = sorted(rows, key=lambda h: h[0])
+        held = [h for i, h in enumerate(held) if not i or h[0] != held[i - 1][0]]  # rows that repeat id and text
+        root = link_cell([s for _, s in held], percent) if len(held) > 1 else [0]
+        for (_, a, b), r in zip((h for h, _ in held), root):
+            yield a, b, held[r][0][0]
+
+
+def link_slices(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
+    """(u, v): links of a slice's queries (``asks`` 1) with its indexed sets (``asks`` 0, which come first), one to each other root."""
+    for _, rows in by_group(batches, ["cell", "slice"], ["asks", "a", "root"]):
+        held: list[Held] = []
+        index: CellIndex | None = None
+        for row, shingles in rows:
+            if not row[0]:
+                held.append((row, shingles))
+                continue
+            if not held:
+                continue
+            index = index or CellIndex([s for _, s in held], percent)
+            linked = {held[i][0][2]: held[i][0][1] for i in index.search(shingles).tolist()}
+            for root, a in linked.items():
+                if root != row[2]:
+                    yield row[1], a
+
+
 def jaccard_components(
     docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
-    order_docs: int = 16_384, order_shingles: int = 100_000, frequent: int = 16, cut: float = 0.35, short_list: int = 24, cell_shingles: int = 8_000_000,
+    order_docs: int = 16_384, order_shingles: int = 100_000, frequent: int = 16, cut: float = 0.35, short_list: int = 24, cell_shingles: int = 100_000, pivots: int = 8,
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
@@ -256,8 +331,9 @@ def jaccard_components(
     ``order_docs`` texts are sampled; at most ``order_shingles`` of the shingles that ``frequent`` of these share
     are tried last. That and ``cut``, the share of other shingles that is tried, decide only how many candidates
     there are, never the result. Lists of up to
-    ``short_list`` texts count pairs, longer ones hook. A cell of
-    more than ``cell_shingles`` shingles is cut into blocks, and every pair of blocks is searched.
+    ``short_list`` texts count pairs, longer ones hook. A cell of up to ``cell_shingles`` shingles is searched by one task. The sets of a larger one
+    are dealt to slices of half as many; about ``pivots`` of them are searched for in all slices, and then every set outside the largest
+    component that this gives.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -276,7 +352,8 @@ def jaccard_components(
             )
 
     set_type = "id long, a long, b long, shingles array<long>"
-    share = min(1.0, order_docs / max(1, rows.count()))
+    total = rows.count()
+    share = min(1.0, order_docs / max(1, total))
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(1 << 53))
     sampled = rows.where(draw < share).mapInArrow(lambda batches: whole_sets(batches, distinct=True), set_type)
     common = sampled.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= frequent).orderBy(F.desc("n"), "s").limit(order_shingles)
@@ -342,13 +419,15 @@ def jaccard_components(
     # Hubs are nodes too; they drop out here, as no text has their number.
     cells = stars.select(F.col("node").alias("a"), F.col("root").alias("cell")).union(stars.select(F.col("root").alias("a"), F.col("root").alias("cell")).distinct())
 
-    members = materialize(groups.join(cells, "a"), "join-members")
-    size = members.groupBy("cell").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles)
-    blocks = members.join(size, "cell", "left").select(
-        "cell", "a", "b", F.col("least").alias("id"), F.coalesce(F.ceil(F.col("total") * 2 / cell_shingles), F.lit(1)).cast("int").alias("blocks")
+    members = materialize(groups.join(cells, "a").select("a", "b", F.col("least").alias("id"), "n", "cell"), "join-members")
+    size = members.groupBy("cell").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("sets"))
+    size = size.withColumn("slices", F.when(F.col("shingles") > cell_shingles, F.ceil(2 * F.col("shingles") / cell_shingles)).otherwise(1).cast("int"))
+    size = size.select("cell", "slices", F.col("sets").alias("in_cell"), "sets")
+    drawn = F.shiftrightunsigned(F.xxhash64("a", F.lit(7)), 11) / F.lit(float(1 << 53))
+    wanted = join_split(members, size, ["cell"], "sets", total).select(
+        "id", F.col("a").alias("wa"), F.col("b").alias("wb"), "cell", "slices", (drawn * F.col("in_cell") < pivots).alias("pivot")
     )
-    wanted = blocks.select("id", F.col("a").alias("wa"), F.col("b").alias("wb"), "cell", "blocks")
-    wanted = F.broadcast(wanted) if members.count() <= 200_000 else wanted  # at most 8 MB
+    wanted = materialize(wanted, "join-wanted")
 
     def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of the texts that are the wanted ones: ids may repeat."""
@@ -357,58 +436,49 @@ def jaccard_components(
             sets = shingler.sets(part.column("text").to_pylist())
             own = [i for i, (s, *w) in enumerate(zip(sets, part.column("wa").to_pylist(), part.column("wb").to_pylist())) if digest(s) == tuple(w)]
             part = part.take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "blocks", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "blocks", "id", "a", "b", "shingles"])
-
-    found = rows.join(wanted, "id").mapInArrow(wanted_sets, "cell long, blocks int, id long, a long, b long, shingles array<long>")
-    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    paired = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = paired.select("cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "a", "b", "shingles")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        held: list[tuple[int, int, int, np.ndarray]] = []
-        out: list[tuple[int, int, int]] = []
-
-        def close() -> None:
-            held.sort(key=lambda h: h[:3])
-            held[:] = [h for i, h in enumerate(held) if not i or h[:3] != held[i - 1][:3]]  # rows that repeat id and text
-            root = link_cell([h[3] for h in held], percent) if len(held) > 1 else [0] * len(held)
-            out.extend((h[1], h[2], held[r][0]) for h, r in zip(held, root))
-            held.clear()
-
-        def given() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b", "root"])
-            out.clear()
-            return made
-
-        for batch in batches:
-            at = np.asarray(batch.column("shingles").offsets).tolist()
-            flat = batch.column("shingles").values.to_numpy(zero_copy_only=False).view(np.uint64)
-            names = [batch.column(c).to_pylist() for c in ("cell", "x", "y", "id", "a", "b")]
-            for i, (cell, x, y, row, a, b) in enumerate(zip(*names)):
-                if (cell, x, y) != key:
-                    close()
-                    key = (cell, x, y)
-                held.append((row, a, b, flat[at[i] : at[i + 1]].copy()))
-            if len(out) > 10_000:
-                yield given()
-        close()
-        if out:
-            yield given()
-
-    dealt = tasks.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
-    linked = materialize(dealt.mapInArrow(link, "a long, b long, root long"), "join-links")
-    if blocks.where("blocks > 1").limit(1).count():
-        # Blocks of one cell gave several roots for a set: join those.
-        own = members.select("a", "b", "least")
-        edges = linked.join(own, ["a", "b"]).select(F.col("least").alias("u"), F.col("root").alias("v"))
-        merged = components(edges, "join-blocks")
-        roots = linked.groupBy("a", "b").agg(F.min("root").alias("root")).join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-        linked = roots.select("a", "b", F.coalesce("top", "root").alias("root"))
-    linked = linked.select("a", "b", "root")
-    classes = groups.join(linked, ["a", "b"], "left").where("copies > 1 OR root IS NOT NULL").select("a", "b", F.coalesce("root", "least").alias("component"))
-    judged = marked.select("id", "a", "b", "n").join(classes, ["a", "b"], "left")
-    return judged.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"),
-    )
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "slices", "pivot", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "slices", "pivot", "id", "a", "b", "shingles"])
+
+    found = rows.join(wanted, "id").mapInArrow(wanted_sets, "cell long, slices int, pivot boolean, id long, a long, b long, shingles array<long>")
+    has_wide = wanted.where("slices > 1").limit(1).count() > 0
+    if has_wide:
+        found = materialize(found, "join-sets")
+    dealt = found.where("slices = 1").repartition("cell").sortWithinPartitions("cell")
+    linked = materialize(dealt.mapInArrow(lambda batches: in_batches(link_groups(batches, percent), ["a", "b", "root"]), "a long, b long, root long"), "join-links")
+    if has_wide:
+        linked = linked.union(_wide_cells(found.where("slices > 1"), percent, total))
+    classes = groups.join(linked, ["a", "b"], "left").where("copies > 1 OR root IS NOT NULL").select("a", "b", F.coalesce("root", "least").alias("component"), "copies")
+    able = F.col("id").isNotNull() & (F.col("n") > 0)
+    judged = join_split(marked.where(able).select("id", "a", "b", "n"), materialize(classes, "join-classes"), ["a", "b"], "copies", total, "left")
+    judged = judged.select("id", "n", F.coalesce("component", "id").alias("component")).unionByName(marked.where(~able).select("id", "n", F.col("id").alias("component")))
+    return judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _wide_cells(sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """(a, b, root) of the sets (cell, slices, pivot, id, a, b, shingles) of cells that no single task searches; the root is the component's least id.
+
+    A set is indexed in one slice. Pivots first link with whatever they reach in all slices; a link between two components then has an end
+    outside the cell's largest one, so only those sets are searched for in all slices.
+    """
+    once = sets.groupBy("cell", "a", "b").agg(F.min("id").alias("id"), F.first("slices").alias("slices"), F.first("pivot").alias("pivot"))
+    once = materialize(once.withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int")), "join-wide")
+
+    def searched(asked: DataFrame, indexed: DataFrame) -> DataFrame:
+        """Links of the rows of ``asked`` (cell, slices, a, root) with those of ``indexed`` (cell, slice, a, root)."""
+        asked = asked.select("cell", "a", "root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("asks"))
+        both = indexed.select("cell", "a", "root", "slice", F.lit(0).alias("asks")).unionByName(asked)
+        given = sets.select("cell", "a", "shingles").join(both, ["cell", "a"])
+        dealt = given.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks", "a")
+        return dealt.mapInArrow(lambda batches: in_batches(link_slices(batches, percent), ["u", "v"]), "u long, v long")
+
+    plain = once.withColumn("root", F.col("a"))
+    first = materialize(searched(plain.where("pivot"), plain), "join-pivots")
+    stars = components(first, "join-stars").withColumnRenamed("node", "a")
+    known = materialize(once.join(stars, "a", "left").withColumn("root", F.coalesce("root", "a")), "join-known")
+    of_root = known.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"))
+    top = of_root.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("sets")).select("cell", F.col("x.root").alias("top"), (F.col("sets") - F.col("x.k")).alias("others"), "sets")
+    known = materialize(join_split(known, top, ["cell"], "sets", total), "join-rest").where("others > 0")
+    links = first.union(searched(known.where("root <> top"), known))
+    nodes = components(links, "join-tops").withColumnRenamed("node", "a")
+    placed = once.join(nodes, "a", "left").select("a", "b", "id", F.coalesce("root", "a").alias("top"))
+    least = placed.groupBy("top").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("sets"))
+    return join_split(placed, least, ["top"], "sets", total).select("a", "b", "root")
