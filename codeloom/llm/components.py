@@ -18,7 +18,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     kept = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     kept = materialize(kept, tag)
     before, total = None, kept.count()
-    while True:
+    while total:
         both = kept.union(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_split(both.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -30,3 +30,4 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if now == before:
             return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before, total = now, now[0]
+    return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -19,7 +19,7 @@ from itertools import groupby, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import join_split, materialize, ship, steps, text_or_empty
@@ -318,7 +318,7 @@ def link_slices(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tup
 
 def jaccard_components(
     docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
-    order_docs: int = 16_384, order_shingles: int = 100_000, frequent: int = 16, cut: float = 0.35, short_list: int = 24, cell_shingles: int = 100_000, pivots: int = 8,
+    order_docs: int = 16_384, order_shingles: int = 100_000, frequent: int = 16, cut: float = 0.35, short_list: int = 24, cell_shingles: int = 100_000, wide_shingles: int = 2_000_000, pivots: int = 8,
 ) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
@@ -332,8 +332,8 @@ def jaccard_components(
     are tried last. That and ``cut``, the share of other shingles that is tried, decide only how many candidates
     there are, never the result. Lists of up to
     ``short_list`` texts count pairs, longer ones hook. A cell of up to ``cell_shingles`` shingles is searched by one task. The sets of a larger one
-    are dealt to slices of half as many; about ``pivots`` of them are searched for in all slices, and then every set outside the largest
-    component that this gives.
+    are dealt to slices of half as many, and about ``pivots`` of them are searched for in all slices; then every set outside the largest
+    component that this gives is searched for in slices of ``wide_shingles``.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -422,10 +422,10 @@ def jaccard_components(
     members = materialize(groups.join(cells, "a").select("a", "b", F.col("least").alias("id"), "n", "cell"), "join-members")
     size = members.groupBy("cell").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("sets"))
     size = size.withColumn("slices", F.when(F.col("shingles") > cell_shingles, F.ceil(2 * F.col("shingles") / cell_shingles)).otherwise(1).cast("int"))
-    size = size.select("cell", "slices", F.col("sets").alias("in_cell"), "sets")
+    size = size.select("cell", "slices", F.ceil(F.col("shingles") / wide_shingles).cast("int").alias("parts"), F.col("sets").alias("in_cell"), "sets")
     drawn = F.shiftrightunsigned(F.xxhash64("a", F.lit(7)), 11) / F.lit(float(1 << 53))
     wanted = join_split(members, size, ["cell"], "sets", total).select(
-        "id", F.col("a").alias("wa"), F.col("b").alias("wb"), "cell", "slices", (drawn * F.col("in_cell") < pivots).alias("pivot")
+        "id", F.col("a").alias("wa"), F.col("b").alias("wb"), "cell", "slices", "parts", (drawn * F.col("in_cell") < pivots).alias("pivot")
     )
     wanted = materialize(wanted, "join-wanted")
 
@@ -436,9 +436,9 @@ def jaccard_components(
             sets = shingler.sets(part.column("text").to_pylist())
             own = [i for i, (s, *w) in enumerate(zip(sets, part.column("wa").to_pylist(), part.column("wb").to_pylist())) if digest(s) == tuple(w)]
             part = part.take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "slices", "pivot", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "slices", "pivot", "id", "a", "b", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "slices", "parts", "pivot", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "slices", "parts", "pivot", "id", "a", "b", "shingles"])
 
-    found = rows.join(wanted, "id").mapInArrow(wanted_sets, "cell long, slices int, pivot boolean, id long, a long, b long, shingles array<long>")
+    found = rows.join(wanted, "id").mapInArrow(wanted_sets, "cell long, slices int, parts int, pivot boolean, id long, a long, b long, shingles array<long>")
     has_wide = wanted.where("slices > 1").limit(1).count() > 0
     if has_wide:
         found = materialize(found, "join-sets")
@@ -457,27 +457,25 @@ def _wide_cells(sets: DataFrame, percent: int, total: int) -> DataFrame:
     """(a, b, root) of the sets (cell, slices, pivot, id, a, b, shingles) of cells that no single task searches; the root is the component's least id.
 
     A set is indexed in one slice. Pivots first link with whatever they reach in all slices; a link between two components then has an end
-    outside the cell's largest one, so only those sets are searched for in all slices.
+    outside the cell's largest one, so only those sets are searched for, in fewer and larger slices.
     """
-    once = sets.groupBy("cell", "a", "b").agg(F.min("id").alias("id"), F.first("slices").alias("slices"), F.first("pivot").alias("pivot"))
-    once = materialize(once.withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int")), "join-wide")
-
-    def searched(asked: DataFrame, indexed: DataFrame) -> DataFrame:
-        """Links of the rows of ``asked`` (cell, slices, a, root) with those of ``indexed`` (cell, slice, a, root)."""
-        asked = asked.select("cell", "a", "root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("asks"))
-        both = indexed.select("cell", "a", "root", "slice", F.lit(0).alias("asks")).unionByName(asked)
-        given = sets.select("cell", "a", "shingles").join(both, ["cell", "a"])
-        dealt = given.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks", "a")
+
+    def searched(held: DataFrame, slices: Column, asks: Column) -> DataFrame:
+        """Links of those sets of ``held`` (cell, a, root, shingles) that ask with all of their cell."""
+        own = F.struct(F.pmod(F.xxhash64("a"), slices).cast("int").alias("slice"), F.lit(0).alias("asks"))
+        every = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: F.struct(s.cast("int").alias("slice"), F.lit(1).alias("asks")))
+        dealt = held.select("cell", "a", "root", "shingles", F.explode(F.when(asks, F.concat(F.array(own), every)).otherwise(F.array(own))).alias("x"))
+        dealt = dealt.select("cell", "x.slice", "x.asks", "a", "root", "shingles").repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks", "a")
         return dealt.mapInArrow(lambda batches: in_batches(link_slices(batches, percent), ["u", "v"]), "u long, v long")
 
-    plain = once.withColumn("root", F.col("a"))
-    first = materialize(searched(plain.where("pivot"), plain), "join-pivots")
+    first = materialize(searched(sets.withColumn("root", F.col("a")), F.col("slices"), F.col("pivot")), "join-pivots")
     stars = components(first, "join-stars").withColumnRenamed("node", "a")
-    known = materialize(once.join(stars, "a", "left").withColumn("root", F.coalesce("root", "a")), "join-known")
+    once = materialize(sets.groupBy("cell", "a", "b").agg(F.min("id").alias("id")), "join-wide")
+    known = materialize(once.join(stars, "a", "left").select("cell", "a", F.coalesce("root", "a").alias("root")), "join-known")
     of_root = known.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"))
     top = of_root.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("sets")).select("cell", F.col("x.root").alias("top"), (F.col("sets") - F.col("x.k")).alias("others"), "sets")
-    known = materialize(join_split(known, top, ["cell"], "sets", total), "join-rest").where("others > 0")
-    links = first.union(searched(known.where("root <> top"), known))
+    known = materialize(join_split(known, top, ["cell"], "sets", total).where("others > 0").select("cell", "a", "root", (F.col("root") != F.col("top")).alias("asks")), "join-rest")
+    links = first.union(searched(sets.join(known, ["cell", "a"]), F.col("parts"), F.col("asks")))
     nodes = components(links, "join-tops").withColumnRenamed("node", "a")
     placed = once.join(nodes, "a", "left").select("a", "b", "id", F.coalesce("root", "a").alias("top"))
     least = placed.groupBy("top").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("sets"))

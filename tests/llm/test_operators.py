@@ -189,7 +189,7 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"short_list": 2, "frequent": 3}, {"cell_shingles": 300, "cut": 0.1}, {"order_docs": 0, "cut": 0.9}, {"cell_shingles": 50, "pivots": 0}])
+@pytest.mark.parametrize("options", [{}, {"short_list": 2, "frequent": 3}, {"cell_shingles": 300, "cut": 0.1}, {"order_docs": 0, "cut": 0.9}, {"cell_shingles": 50, "wide_shingles": 400, "pivots": 0}])
 def test_join(docs, rows, options):
     got = {r[0]: tuple(r[1:]) for r in ngram_join.jaccard_components(docs, **options).collect()}
     assert got == brute_components(rows)
