@@ -2,7 +2,8 @@
 
 Words written with digits and symbols for letters, with drawn-out letters or with gaps between letters become
 character lattices; Viterbi decoding under a character language model restores them. The restored text
-is scored by words that labelled rows show to be toxic, with a logistic curve over their weights.
+is scored by words that labelled rows show to be toxic, with a logistic curve over their weights; the other words' leaning ranks texts
+that are alike in those.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,10 +27,13 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
+#: Parts of the labelled sample; the curve is fitted to each with the words of the others.
+FOLDS = 4
 _ANY = "abcdefghijklmnopqrstuvwxyz"
 _EDGE = ".,;:!?\"'()[]{}<>#%&*$|…-_~`«»“”’"
 _LETTER = r"[^\W\d_]"
 _DRAWN = re.compile(rf"({_LETTER})\1\1")
+_STARS = re.compile(r"\*{9,}")
 _DOTTED = re.compile(r"\w(?:[.\-_*~]\w){2,}")
 _GAPPED = re.compile(r"(?<!\S)[\w@$!|+](?:[ \t][\w@$!|+]){2,}(?!\S)")
 _STANDINS = re.escape("".join(LOOKALIKES))
@@ -76,8 +80,9 @@ def decode(observed: str, model: CharacterModel) -> str:
     """The likeliest word behind ``observed``.
 
     Each character may stand for itself or, if it is a stand-in, for a letter that it looks like; ``*`` may stand for any
-    letter; separators may vanish, and so may a letter that repeats the one before.
+    letter; separators may vanish, and so may a letter that repeats the one before. Runs of over eight ``*`` are read as eight.
     """
+    observed = _STARS.sub("*" * 8, observed)
     ways: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
     previous = ""
     for c in observed:
@@ -132,51 +137,55 @@ class ToxicModel:
     letters: CharacterModel
     bias: float
     slopes: tuple[float, float]
+    #: How far other words lean to toxic rows.
+    leaning: dict[str, float] = field(default_factory=dict)
 
-    def features(self, hits: list[str]) -> tuple[float, float]:
-        """The sum of the five largest weights, and the number of different toxic words."""
-        found = sorted((self.weights[w] for w in hits), reverse=True)
-        return sum(found[:5]), math.log1p(len(found))
+    def features(self, hits: Iterable[str]) -> tuple[float, float]:
+        """The sum of the toxic words' weights, in tens and damped, and the number of different ones."""
+        found = [self.weights[w] for w in hits]
+        return 10 * math.log1p(sum(found) / 10), math.log1p(len(found))
 
-    def score(self, hits: list[str]) -> float:
+    def score(self, hits: Iterable[str], leaning: float = 0.0) -> float:
+        """``leaning``, the mean of a text's words, moves the log-odds by at most a half."""
         a, b = self.features(hits)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slopes[0] * a + self.slopes[1] * b))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.slopes[0] * a + self.slopes[1] * b)) - 0.5 * math.tanh(leaning)))
 
 
 class Reader:
-    """Finds the words of a text that a vocabulary has; tokens met before are remembered, up to a bound."""
+    """Reads the words of texts; tokens met before are remembered, up to a bound.
 
-    def __init__(self, vocabulary: set[str] | dict[str, float] | None, letters: CharacterModel, most: int = 500_000):
-        self.vocabulary, self.letters, self.most = vocabulary, letters, most
-        self.idle: set[str] = set()
-        self.hits: dict[str, list[str]] = {}
-        known = [w for w in vocabulary or () if len(w) >= 4]
-        self.inside = re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True)))) if known else None
+    With a vocabulary only its words are given, and the others' ``leaning`` is summed.
+    """
 
-    def words(self, text: str) -> set[str]:
-        """The distinct words of the restored text, of the vocabulary if there is one."""
+    def __init__(self, vocabulary: Collection[str] | None, letters: CharacterModel, leaning: dict[str, float] | None = None, most: int = 500_000):
+        self.vocabulary, self.letters, self.leaning, self.most = vocabulary, letters, leaning or {}, most
+        self.known: dict[str, tuple[list[str], float]] = {}
+        long = [w for w in vocabulary or () if len(w) >= 4]
+        self.inside = re.compile("|".join(map(re.escape, sorted(long, key=len, reverse=True)))) if long else None
+
+    def read(self, text: str) -> tuple[set[str], float]:
+        """The distinct words of the restored text, of the vocabulary if there is one, and the mean leaning of its tokens."""
         lower = text.lower()
         tokens = set(lower.split())
-        if len(self.idle) + len(self.hits) > self.most:
-            self.idle.clear()
-            self.hits.clear()
-        new = tokens - self.idle
-        if self.hits:
-            new = new.difference(self.hits)
-        for token in new:
+        if len(self.known) > self.most:
+            self.known.clear()
+        for token in tokens.difference(self.known):
             found = restore_token(token, self.letters)
-            if self.vocabulary is not None:
-                found = [w for w in found if w in self.vocabulary]
+            leaning = sum(self.leaning.get(w, 0.0) for w in found)
+            self.known[token] = (found if self.vocabulary is None else [w for w in found if w in self.vocabulary], leaning)
+        out, total = set(), 0.0
+        for found, leaning in map(self.known.__getitem__, sorted(tokens)):
+            total += leaning
             if found:
-                self.hits[token] = found
-            else:
-                self.idle.add(token)
-        out = {w for t in tokens.intersection(self.hits) for w in self.hits[t]} if self.hits else set()
+                out.update(found)
         if self.inside is not None or self.vocabulary is None:
             for run in _GAPPED.findall(lower):
                 whole = decode(re.sub(r"\s", "", run), self.letters)
                 out.update([whole] if self.vocabulary is None else self.inside.findall(whole))
-        return out
+        return out, total / max(1, len(tokens))
+
+    def words(self, text: str) -> set[str]:
+        return self.read(text)[0]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -201,7 +210,8 @@ def word_weights(counts: list[tuple[str, int, int]], positives: int, negatives:
         if p > expected:
             other = (p + n) - expected
             g = 2 * (p * math.log(p / expected) + (n * math.log(n / other) if n else 0.0))
-            weight = math.log((p + 0.5) / (positives + 1)) - math.log((n + 0.5) / (negatives + 1))
+            # Two rows more than were seen stand against every word, so that rare words weigh less than frequent ones.
+            weight = math.log((p + 0.5) / (positives + 1)) - math.log((n + 2) / (negatives + 4))
             if g >= evidence and weight >= 1.5:
                 found[word] = min(weight, 8.0)
     return found
@@ -247,13 +257,14 @@ def letter_statistics(docs: DataFrame, text_col: str = "text", held_words: int =
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, lexicon_words: int = 5000, evidence: float = 16.0
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, lexicon_words: int = 5000, leaning_words: int = 20_000, evidence: float = 16.0
 ) -> ToxicModel:
     """A model from at most ``sample_rows`` labelled rows, those whose id's hash is least; copies and near copies (components of ``jaccard_components``) of one label count once.
 
-    The character model is made from the words of all of ``docs``. Without rows of both labels the model scores every text alike, at
-    the rate of the label. The driver gets the distinct trigrams of all words, at most ``lexicon_words`` toxic words, with their
-    counts, and a pair of numbers for each sampled row.
+    The character model is made from the words of all of ``docs``; labelled rows are restored by it before they are counted, and the toxic
+    words found then join it. Without rows of both labels the model scores every text alike, at
+    the rate of the label. The driver gets the distinct trigrams of all words, at most ``lexicon_words`` toxic words and ``leaning_words``
+    frequent ones, with their counts, and a pair of numbers for each sampled row.
     """
     ship(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
@@ -261,8 +272,11 @@ def learn(
     rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), "y", text_or_empty(text_col).alias("text"))  # at most sample_rows ids
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "toxic-rows")
 
+    letters, documents = letter_statistics(docs, text_col)
+    plain_letters = CharacterModel.of_trigrams(letters)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(None, CharacterModel())
+        reader = Reader(None, plain_letters)
         for part in steps(batches, "text"):
             words = [sorted(reader.words(t)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), part.column("y"), pa.array(words, pa.list_(pa.string()))], ["row", "id", "y", "words"])
@@ -271,35 +285,37 @@ def learn(
     near = jaccard_components(rows, words=5, percent=75, id_col="row").select("row", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.lit(-1)).alias("component"))
     first = rows.select("row", "id", "y").join(near, "row").groupBy("component", "y").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
     sample = rows.mapInArrow(read, "row long, id long, y int, words array<string>")
-    sample = materialize(sample.join(first, "row", "left_semi").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(29)), F.lit(2))), "toxic-distinct")
-    totals: dict[int, list[int]] = {f: [0, 0] for f in (0, 1)}
+    sample = materialize(sample.join(first, "row", "left_semi").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(29)), F.lit(FOLDS))), "toxic-distinct")
+    totals: dict[int, list[int]] = {f: [0, 0] for f in range(FOLDS)}
     for r in sample.groupBy("fold", "y").count().collect():
         totals[r["fold"]][r["y"]] += r["count"]
-    words = materialize(
-        sample.select("fold", "y", F.explode("words").alias("w")).groupBy("w").agg(*[F.sum(((F.col("fold") == f) & (F.col("y") == y)).cast("int")).alias(f"c{f}{y}") for f in (0, 1) for y in (0, 1)])
-        .where("c00 + c01 + c10 + c11 >= 3"),
-        "toxic-words",
-    )
-    positives, negatives = totals[0][1] + totals[1][1], totals[0][0] + totals[1][0]
-    letters, documents = letter_statistics(docs, text_col)
-    likely = words.where("c01 + c11 >= 3").withColumn("lift", F.expr("(c01 + c11) * (c01 + c11) / (c00 + c01 + c10 + c11)")).orderBy(F.desc("lift"), "w").limit(lexicon_words).collect()
-    weights = word_weights([(r["w"], r["c01"] + r["c11"], r["c00"] + r["c10"]) for r in likely], positives, negatives, evidence)
+    counts = [F.sum(((F.col("fold") == f) & (F.col("y") == y)).cast("int")).alias(f"c{f}{y}") for f in range(FOLDS) for y in (0, 1)]
+    words = sample.select("fold", "y", F.explode("words").alias("w")).groupBy("w").agg(*counts, F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    words = materialize(words.where("n >= 3"), "toxic-words")
+    positives, negatives = (sum(t[y] for t in totals.values()) for y in (1, 0))
+    likely = words.where("p >= 3").withColumn("lift", F.expr("p * p / n")).orderBy(F.desc("lift"), "w").limit(lexicon_words).collect()
+    weights = word_weights([(r["w"], r["p"], r["n"] - r["p"]) for r in likely], positives, negatives, evidence)
     if not positives or not negatives or not weights:
         rate = (positives + 0.5) / (positives + negatives + 1)
-        return ToxicModel({}, CharacterModel.of_trigrams(letters), math.log(rate / (1 - rate)), (0.0, 0.0))
+        return ToxicModel({}, plain_letters, math.log(rate / (1 - rate)), (0.0, 0.0))
     # A toxic word has the weight of 200 rows of the sample, in proportion to all documents.
     scale = max(1.0, documents / (positives + negatives))
     for gram, n in trigrams(dict.fromkeys(weights, 200.0 * scale)).items():
         letters[gram] = letters.get(gram, 0.0) + n
-    # The curve is fitted to rows scored with the words of the other fold.
-    halves = {f: word_weights([(r["w"], r[f"c{1 - f}1"], r[f"c{1 - f}0"]) for r in likely], totals[1 - f][1], totals[1 - f][0], evidence / 2) for f in (0, 1)}
-    vocabulary = sorted({w for h in halves.values() for w in h})
+    frequent = words.orderBy(F.desc("n"), "w").limit(leaning_words).select("w", "n", "p").collect()
+    leaning = {r["w"]: max(-2.0, min(2.0, math.log((r["p"] + 1) / (positives + 2)) - math.log((r["n"] - r["p"] + 1) / (negatives + 2)))) for r in frequent}
+    # The curve is fitted to rows scored with the words of the other folds.
+    others = {
+        f: word_weights([(r["w"], r["p"] - r[f"c{f}1"], r["n"] - r["p"] - r[f"c{f}0"]) for r in likely], positives - totals[f][1], negatives - totals[f][0], evidence * (FOLDS - 1) / FOLDS)
+        for f in range(FOLDS)
+    }
+    vocabulary = sorted({w for own in others.values() for w in own})
     held = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    model = ToxicModel(weights, CharacterModel.of_trigrams(letters), 0.0, (1.0, 1.0))
+    model = ToxicModel(weights, CharacterModel.of_trigrams(letters), 0.0, (1.0, 1.0), leaning)
     x, y = [], []
     for r in sample.select("fold", "y", F.array_intersect("words", held).alias("hits")).collect():
-        half = ToxicModel(halves[r["fold"]], model.letters, 0.0, (1.0, 1.0))
-        x.append(half.features([w for w in r["hits"] if w in half.weights]))
+        fold = ToxicModel(others[r["fold"]], model.letters, 0.0, (1.0, 1.0))
+        x.append(fold.features([w for w in r["hits"] if w in fold.weights]))
         y.append(r["y"])
     fitted = fit_logistic(np.array(x), np.array(y, float), ridge=0.1)
     model.bias, model.slopes = float(fitted[0]), (max(0.0, float(fitted[1])), max(0.0, float(fitted[2])))
@@ -314,10 +330,11 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.weights, model.letters)
+        reader = Reader(model.weights, model.letters, model.leaning)
         for part in steps(batches, "text"):
-            found = [sorted(reader.words(t)) for t in part.column("text").to_pylist()]
-            scores = [model.score(f) for f in found]
+            read = [reader.read(t) for t in part.column("text").to_pylist()]
+            found = [sorted(f) for f, _ in read]
+            scores = [model.score(f, leaning) for f, (_, leaning) in zip(found, read)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["id", "score", "toxic_words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

@@ -305,6 +305,44 @@ def test_toxicity(spark, judged):
     assert toxicity.score_documents(odd, none).count() == 3
 
 
+def test_decode_is_the_best_of_all_paths():
+    """Viterbi against every way to read the characters."""
+    rnd = random.Random(12)
+    letters = toxicity.CharacterModel.of({"idiot": 9, "stone": 20, "boat": 5, "beet": 7, "letter": 4, "sold": 3, "soul": 2})
+
+    def value(path, cost):
+        padded = f"^^{path}$"
+        return cost + sum(letters.step(padded[i - 2 : i], padded[i]) for i in range(2, len(padded)))
+
+    for _ in range(150):
+        observed = "".join(rnd.choices("stoneidbl013!$*.-", k=rnd.randint(1, 5)))
+        ways, previous = [("", 0.0)], ""
+        for c in observed:
+            options = [(c, 0.0)] if c.isalpha() else [(x, -1.0) for x in toxicity.LOOKALIKES.get(c, "")] or ([(x, -3.0) for x in "abcdefghijklmnopqrstuvwxyz"] if c == "*" else [])
+            skip = -0.5 if c == previous or not (c.isalnum() or c in toxicity.LOOKALIKES) else None if c.isalpha() else -4.0
+            ways = [(p + x, s + w) for p, s in ways for x, w in options] + ([(p, s + skip) for p, s in ways] if skip is not None else [])
+            previous = c
+        best = max(value(p, s) for p, s in ways)
+        found = toxicity.decode(observed, letters)
+        assert max(value(p, s) for p, s in ways if p == found) == pytest.approx(best), observed
+
+
+def test_toxicity_edges(spark, judged):
+    import time
+
+    model = toxicity.learn(judged.select("doc_id", "text"), judged.select("doc_id", "toxic"))
+    began = time.time()
+    assert toxicity.decode("id" + "*" * 100_000 + "ot", model.letters)
+    toxicity.Reader(model.weights, model.letters).words("a" * 200_000 + " " + "st0ne" * 20_000)
+    assert time.time() - began < 60
+    odd = spark.createDataFrame([(5, "the river", 0, "a"), (5, "you idiot moron", 1, "b"), (None, "stupid moron", 1, None)], "doc_id long, text string, toxic int, score string")
+    got = sorted((str(r.doc_id), r.score >= 0.7) for r in toxicity.score_documents(odd, model).collect())
+    assert got == [("5", False), ("5", True), ("None", True)]
+    clean = toxicity.score_documents(judged.where("toxic = 0"), model).collect()
+    assert len({r.score for r in clean}) > 20  # texts without toxic words are ranked, too
+    assert toxicity.learn(odd, odd.select("doc_id", "toxic")).letters.three
+
+
 def test_toxicity_learns_from_rows_that_share_a_word(spark):
     import xxhash
 
