@@ -7,8 +7,9 @@ the calibrated views together score every document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import materialize, ship, steps, text_or_empty
 from codeloom.llm.toxicity import fit_logistic
 
-TEXT_SIZE, META_SIZE = 136, 66
+#: Hashed words of a text, and all features of both views.
+WORDS = 64
+TEXT_SIZE, META_SIZE = 136 + WORDS, 66
 
 
 def text_features(text: str) -> np.ndarray:
-    """Of the whole text: shares of the bytes (those beyond ASCII together), length, word, line and repetition statistics."""
+    """Of the whole text: shares of the bytes (those beyond ASCII together) and of its words by hash, length, word, line and repetition statistics."""
     data = text.encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(float)
     n = max(1, len(data))
@@ -33,7 +36,10 @@ def text_features(text: str) -> np.ndarray:
         np.log1p(len(data)) / 10, np.log1p(len(words)) / 10, len(set(words)) / max(1, len(words)), len(data) / max(1, len(words)) / 10,
         len(set(lines)) / len(lines), np.log1p(len(lines)) / 5, counts[65:91].sum() / n,
     )
-    return np.concatenate((np.sqrt(counts[:128] / n), [np.sqrt(counts[128:].sum() / n)], more)).astype(np.float32)
+    hashed = np.zeros(WORDS)
+    for word, times in Counter(words).items():
+        hashed[xxhash.xxh3_64_intdigest(word) % WORDS] += times
+    return np.concatenate((np.sqrt(counts[:128] / n), [np.sqrt(counts[128:].sum() / n)], more, np.sqrt(hashed / max(1, len(words))))).astype(np.float32)
 
 
 def meta_features(values: tuple) -> np.ndarray:
@@ -43,7 +49,7 @@ def meta_features(values: tuple) -> np.ndarray:
         if isinstance(value, (int, float)):
             made[64] = np.log1p(max(0.0, float(value))) / 10
             made[65] = made[64] ** 2
-            value = f"size {int(np.log2(1 + max(0.0, float(value))))}"
+            value = f"size {int(4 * np.log2(1 + max(0.0, float(value))))}"
         made[xxhash.xxh3_64_intdigest(f"{i} {value}") % 64] += 1
     return made
 
@@ -72,6 +78,8 @@ class CoTrained:
     meta: View | None
     mix: np.ndarray
     rate: float
+    #: How many bad and good labels the text view, and the metadata view, have passed on.
+    passed: list[list[int]] = field(default_factory=lambda: [[0, 0], [0, 0]])
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: by the text, by the metadata and by both."""
@@ -83,36 +91,75 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (a, b, both))
 
 
+def log_loss(view: View, x: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(1 / (1 + np.exp(-view.odds(x))), 1e-6, 1 - 1e-6)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def confident(odds: np.ndarray, known: np.ndarray, y: np.ndarray, most: int, sure: float, least: int = 5) -> np.ndarray:
+    """The pool rows, at most ``most`` and surest first, whose odds are so high that of the labelled rows ``known`` with such odds a share of ``sure`` is right.
+
+    The ``least`` labelled rows of the highest odds count in any case.
+    """
+    order = np.argsort(-odds, kind="stable")[:most]
+    if len(known) < least:
+        return order[:0]
+    enough = np.sort(known)[-least]
+    while len(order) and y[known >= min(odds[order[-1]], enough)].mean() < sure:
+        order = order[: len(order) // 2]
+    return order
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.9) -> CoTrained:
-    """``rounds`` of exchange over an unlabelled pool: in each, a view passes on at most ``share`` of the pool, in the
-    ratio of the labels, and only rows that it gives a probability of ``sure`` for either label. A fifth of the labelled rows calibrates.
+    """``rounds`` of exchange over an unlabelled pool; a fifth of the labelled rows is kept aside.
+
+    In a round each view passes on at most ``share`` of the pool to the other, in the ratio of the labels, so always rows of both labels or none.
+    A label is passed on where ``sure`` of the rows kept aside with such odds have it, and halfway from its rate to all of them at least. A view
+    that explains the rows kept aside worse after a round forgets that round. At last those rows calibrate both views and their mix.
     """
     rate = float((y.sum() + 0.5) / (len(y) + 1))
     kept = np.arange(len(y)) % 5 != 0
     if len(y) < 20 or len(set(y[kept])) < 2 or len(set(y[~kept])) < 2:
         return CoTrained(None, None, np.zeros(3), rate)
-    extra: list[tuple[list[int], list[float]]] = [([], []), ([], [])]
-    views: list[View] = []
-    left = np.ones(len(pool_text), bool)
-    for turn in range(rounds + 1):
-        views = [View.fit(np.r_[x[kept], p[np.array(rows, int)]], np.r_[y[kept], labels]) for x, p, (rows, labels) in zip((text, meta), (pool_text, pool_meta), extra)]
-        if turn == rounds or not left.any():
+    labelled, pools = (text, meta), (pool_text, pool_meta)
+    given: list[dict[int, float]] = [{}, {}]
+    passed = [[0, 0], [0, 0]]
+
+    def fitted(i: int, extra: dict[int, float]) -> View:
+        rows = np.fromiter(extra, np.int64, len(extra))
+        return View.fit(np.r_[labelled[i][kept], pools[i][rows]], np.r_[y[kept], np.fromiter(extra.values(), float, len(extra))])
+
+    views = [fitted(i, {}) for i in (0, 1)]
+    losses = [log_loss(v, x[~kept], y[~kept]) for v, x in zip(views, labelled)]
+    many = max(1, int(share * len(pool_text)))
+    for _ in range(rounds if len(pool_text) else 0):
+        offers = []
+        for i in (0, 1):  # what view i tells the other
+            left = np.array([r for r in range(len(pool_text)) if r not in given[1 - i]], np.int64)
+            odds, known = views[i].odds(pools[i][left]), views[i].odds(labelled[i][~kept])
+            good = confident(odds, known, y[~kept], max(1, int(many * rate)), max(sure, (1 + rate) / 2)) if len(left) else left
+            bad = confident(-odds, -known, 1 - y[~kept], max(1, int(many * (1 - rate))), max(sure, 1 - rate / 2)) if len(left) else left
+            good = good[: -(-int(len(bad) * 1000 * rate / (1 - rate)) // 1000)]
+            bad = bad[: -(-int(len(good) * 1000 * (1 - rate) / rate) // 1000)]
+            offers.append(dict.fromkeys(left[good].tolist(), 1.0) | dict.fromkeys(left[bad].tolist(), 0.0))
+        before = len(given[0]) + len(given[1])
+        for i in (0, 1):
+            offer = offers[1 - i]
+            if offer:
+                view = fitted(i, given[i] | offer)
+                loss = log_loss(view, labelled[i][~kept], y[~kept])
+                if loss <= losses[i]:
+                    given[i] |= offer
+                    views[i], losses[i] = view, loss
+                    for label in offer.values():
+                        passed[1 - i][int(label)] += 1
+        if len(given[0]) + len(given[1]) == before:
             break
-        for view, pool, other in ((views[0], pool_text, extra[1]), (views[1], pool_meta, extra[0])):
-            rows = np.flatnonzero(left)
-            p = 1 / (1 + np.exp(-view.odds(pool[rows])))
-            order = np.argsort(p, kind="stable")
-            many = max(1, int(share * len(pool)))
-            bad = [i for i in order[: max(1, int(many * (1 - rate)))] if p[i] <= 1 - sure]
-            good = [i for i in order[::-1][: max(1, int(many * rate))] if p[i] >= sure]
-            other[0].extend(rows[bad + good].tolist())
-            other[1].extend([0.0] * len(bad) + [1.0] * len(good))
-            left[rows[bad + good]] = False
-    for view, x in zip(views, (text, meta)):
-        fitted = fit_logistic(view.odds(x[~kept])[:, None], y[~kept], ridge=0.1)
-        view.line = (float(fitted[0]), max(0.0, float(fitted[1])))
+    for view, x in zip(views, labelled):
+        line = fit_logistic(view.odds(x[~kept])[:, None], y[~kept], ridge=0.1)
+        view.line = (float(line[0]), max(0.0, float(line[1])))
     mix = fit_logistic(np.c_[views[0].odds(text[~kept]), views[1].odds(meta[~kept])], y[~kept], ridge=0.1)
-    return CoTrained(views[0], views[1], mix, rate)
+    return CoTrained(views[0], views[1], mix, rate, passed)
 
 
 def _with_features(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
@@ -130,7 +177,7 @@ def _with_features(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", labelled_rows: int = 8000, pool_rows: int = 8000) -> CoTrained:
     """Co-trains on at most ``labelled_rows`` labelled and about ``pool_rows`` unlabelled documents, those whose id's hash is least.
 
-    Their features, under a kilobyte each, are all that the driver holds. Without both labels every document gets the label's rate.
+    Their features, under two kilobytes each, are all that the driver holds; of rows that repeat an id, the one with the least features counts. Without both labels every document gets the label's rate.
     """
     ship(docs.sparkSession)
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
@@ -138,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = docs.join(F.broadcast(chosen), id_col)  # at most labelled_rows rows
     rest = docs.where(F.col(id_col).isNotNull()).select(id_col).join(own, id_col, "left_anti").orderBy(F.xxhash64(id_col, F.lit(43)), id_col).limit(pool_rows)
     pool = docs.join(F.broadcast(rest), id_col).withColumn("y", F.lit(-1.0))  # at most pool_rows rows
-    both = materialize(_with_features(known.unionByName(pool), id_col, text_col, meta_cols, ("y",)), "co-sample").orderBy("id", "tx", "mx").limit(2 * (labelled_rows + pool_rows)).collect()
+    held = _with_features(known.unionByName(pool), id_col, text_col, meta_cols, ("y",)).groupBy("id").agg(F.min(F.struct("tx", "mx", "y")).alias("x"))
+    both = materialize(held.select("id", "x.*"), "co-sample").orderBy("id").collect()
     text = np.array([np.frombuffer(r["tx"], np.float32) for r in both]).reshape(-1, TEXT_SIZE)
     meta = np.array([np.frombuffer(r["mx"], np.float32) for r in both]).reshape(-1, META_SIZE)
     y = np.array([r["y"] for r in both])
