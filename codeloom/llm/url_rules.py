@@ -13,7 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, partitions
+from codeloom.llm.common import join_split, materialize, partitions
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -80,18 +80,33 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, least_rows: int = 8, support: float = 0.001, confidence: float = 0.6, most_tokens: int = 3) -> DataFrame:
-    """(tokens, anchor, confidence, rows): token sets whose rows are bad with ``confidence``, from (tokens, bad).
+    """(tokens, anchors, confidence, rows): token sets whose rows are bad with ``confidence``, from (tokens, bad).
 
-    A rule's tokens and a bad label occur together in ``support`` of the rows and ``least_rows`` of them at least. The anchor is
-    the rule's rarest token. A rule that contains a rule at least as sure is dropped. No rows: no rules.
+    A rule's tokens and a bad label occur together in ``support`` of the rows and ``least_rows`` of them at least. Tokens that occur in
+    the same rows stand for each other, so a rule's tokens are lists of alternatives; the anchors are the rarest one's. A
+    rule that contains a rule at least as sure is dropped. No rows: no rules.
+
+    What adds no rule is left out before FP-growth: tokens of too few bad rows, and tokens that are sure alone, which are rules by themselves.
     """
-    schema = "tokens array<string>, anchor string, confidence double, rows long"
+    schema = "tokens array<array<string>>, anchors array<string>, confidence double, rows long"
+    labelled = materialize(labelled.withColumn("_row", F.monotonically_increasing_id()), "url-rows")
     total = labelled.count()
     if total < least_rows:
         return labelled.sparkSession.createDataFrame([], schema)
     least = max(least_rows, -(-total * support // 1))
-    items = labelled.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total), minConfidence=confidence, numPartitions=partitions(labelled.sparkSession)).fit(items)
+    marks = [F.sum(F.xxhash64("_row", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2)]
+    counted = labelled.select("_row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("bad").alias("rows"), F.count(F.lit(1)).alias("uses"), *marks)
+    same = counted.where(F.col("rows") >= least).groupBy("rows", "uses", "m1", "m2").agg(F.min("token").alias("one"), F.sort_array(F.collect_set("token")).alias("all"))
+    same = materialize(same.select("one", "all", "rows", "uses"), "url-tokens")
+    alone = same.where("rows = uses").select(F.array("all").alias("tokens"), F.col("all").alias("anchors"), F.lit(1.0).alias("confidence"), "rows")
+    # A class is counted where its first token is.
+    used = labelled.select("_row", F.explode("tokens").alias("one")).join(same.where("rows < uses").select("one"), "one").groupBy("_row").agg(F.collect_set("one").alias("items"))
+    items = used.join(labelled.select("_row", "bad"), "_row").select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    items = materialize(items, "url-items")
+    fed = items.count()
+    if not fed:
+        return alone
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / fed), minConfidence=confidence, numPartitions=partitions(labelled.sparkSession)).fit(items)
     sets = model.freqItemsets.where(F.size("items") <= most_tokens + 1)
     sets = materialize(sets.select(F.sort_array("items").alias("items"), "freq"), "url-itemsets")
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("rows"))
@@ -103,18 +118,17 @@ def mine_rules(labelled: DataFrame, least_rows: int = 8, support: float = 0.001,
     inner = sure.select("tokens", "confidence", F.explode(F.array_distinct(parts)).alias("part"))
     weaker = inner.join(sure.select(F.col("tokens").alias("part"), F.col("confidence").alias("other")), "part").where("other >= confidence").select("tokens").distinct()
     kept = sure.join(weaker, "tokens", "left_anti")
-    lone = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("anchor"), F.col("freq").alias("uses"))
-    anchored = kept.withColumn("anchor", F.explode("tokens")).join(lone, "anchor")
-    rarest = anchored.groupBy("tokens", "confidence", "rows").agg(F.min(F.struct("uses", "anchor")).alias("x"))
-    return rarest.select("tokens", F.col("x.anchor").alias("anchor"), "confidence", "rows")
+    named = kept.withColumn("one", F.explode("tokens")).join(same.select("one", "all", "uses"), "one")
+    rarest = named.groupBy("tokens", "confidence", "rows").agg(F.sort_array(F.collect_list("all")).alias("lists"), F.min(F.struct("uses", "one", "all")).alias("x"))
+    return alone.unionByName(rarest.select(F.col("lists").alias("tokens"), F.col("x.all").alias("anchors"), "confidence", "rows"))
 
 
 def blocked_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """(url, confidence) of the distinct URLs that some mined rule fits, with the surest rule's confidence."""
-    tokens = urls.where(F.col(url_col).isNotNull()).select(url_col).distinct().withColumn("_tokens", url_tokens(F.col(url_col)))
-    index = rules.select(F.col("anchor").alias("_token"), F.col("tokens").alias("_wanted"), "confidence")
-    hits = tokens.withColumn("_token", F.explode("_tokens")).join(index, "_token").where(F.size(F.array_except("_wanted", "_tokens")) == 0)
-    return hits.groupBy(url_col).agg(F.max("confidence").alias("confidence"))
+    """(url, confidence, copies) of the distinct URLs that some mined rule fits, with the surest rule's confidence and the URL's number of rows."""
+    tokens = urls.where(F.col(url_col).isNotNull()).groupBy(url_col).agg(F.count(F.lit(1)).alias("copies")).withColumn("_tokens", url_tokens(F.col(url_col)))
+    index = rules.select(F.explode("anchors").alias("_token"), F.col("tokens").alias("_wanted"), "confidence")
+    hits = tokens.withColumn("_token", F.explode("_tokens")).join(index, "_token").where(F.forall("_wanted", lambda w: F.arrays_overlap(w, F.col("_tokens"))))
+    return hits.groupBy(url_col).agg(F.max("confidence").alias("confidence"), F.max("copies").alias("copies"))
 
 
 def judge_urls(pages: DataFrame, labelled_urls: DataFrame, site_rules: list[SiteRule], id_col: str = "page_id", url_col: str = "url", **mining) -> DataFrame:
@@ -127,8 +141,9 @@ def judge_urls(pages: DataFrame, labelled_urls: DataFrame, site_rules: list[Site
     labelled = labelled_urls.where("bad IS NOT NULL").select(url_tokens(F.col("url")).alias("tokens"), F.col("bad").cast("int").alias("bad")).where(F.size("tokens") > 0)
     rules = materialize(mine_rules(materialize(labelled, "url-labelled"), **mining), "url-rules")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"))
-    hits = blocked_urls(rows, rules)
-    judged = rows.join(hits, "url", "left").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
+    hits = materialize(blocked_urls(rows, rules), "url-hits")
+    judged = join_split(rows.where("url IS NOT NULL"), hits, ["url"], "copies", rows.count(), "left")
+    judged = judged.unionByName(rows.where("url IS NULL").withColumn("confidence", F.lit(None).cast("double"))).withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     name, verdict = by_rules(site_rules, F.col("host"), F.col("path"))
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("_id").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), "confidence")
