@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, partitions, ship, text_or_empty
+from codeloom.llm.common import join_split, materialize, partitions, ship, text_or_empty
 
 #: Low bits of a fingerprint that are stored as its remainder; the bits above are its quotient.
 REMAINDER_BITS = 40
@@ -63,13 +63,13 @@ def merge_sorted(fingerprints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
     return fingerprints[first], np.add.reduceat(counts, first)
 
 
-def suspects(fingerprints: DataFrame, column: str = "fp", filter_rows: int = 1 << 20) -> DataFrame:
+def suspects(fingerprints: DataFrame, total: int, column: str = "fp", filter_rows: int = 1 << 20, slice_rows: int = 1 << 22) -> DataFrame:
     """(fp, copies) of the fingerprints that occur more than once.
 
     A task holds at most ``filter_rows`` fingerprints before it emits filters; a merge holds the
-    filters of one slice, and slices are as many as shuffle partitions.
+    filters of one slice, which have about ``slice_rows`` of the ``total`` fingerprints at most.
     """
-    slices = partitions(fingerprints.sparkSession)
+    slices = max(partitions(fingerprints.sparkSession), -(-total // slice_rows))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -112,13 +112,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("fp", F.shiftrightunsigned(F.xxhash64("text"), 64 - fingerprint_bits))
-    repeated = materialize(suspects(rows).select("fp"), "dedup-suspects")
+    total = rows.count()
+    repeated = materialize(suspects(rows, total).select("fp"), "dedup-suspects")
     # Bytes are compared here: the text itself is the grouping key. Each task folds its own copies first.
     classes = (
         rows.join(repeated, "fp", "left_semi").groupBy("text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    judged = rows.select("id", F.sha2("text", 256).alias("text_sha256")).join(classes, "text_sha256", "left")
+    classes = materialize(classes.withColumn("copies", F.col("group_size")), "dedup-groups")
+    judged = join_split(rows.select("id", F.sha2("text", 256).alias("text_sha256")), classes, ["text_sha256"], "copies", total, "left")
     lone = F.col("group_size").isNull()
     return judged.select(
         F.col("id").alias(id_col),

@@ -36,23 +36,24 @@ def pfair_period(units: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return made
 
 
-def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Every row with its place in the mix: stream, block, slot, seat, release, deadline.
 
     ``units`` gives the weight of sources in whole units; ``OTHER`` is the weight of all the rest and
     must be there if the rest is to be mixed in a ratio (0 or none: one unit). Rows of a stream are
     ordered by md5 of the id. While every stream has rows, each is less than one block away from its share
     at every slot; later the slots of exhausted streams stay empty and the others keep their ratio.
-    All rows are kept. Null ids come first in their stream; rows with equal ids come in any order.
-    ``keep`` names further columns to carry along.
+    All rows are kept. Null ids come first in their stream; rows with equal ids are ordered by source and by the columns ``ties``, or ``keep`` if there are none.
+    ``keep`` names further columns to carry along; rows that are alike in all of this are exchangeable.
     """
     spark = docs.sparkSession
     units = {**units, OTHER: max(1, units.get(OTHER, 0))}
     period = sum(units.values())
     named = [s for s in units if s != OTHER]
     carried = [F.col(c) for c in keep or []]
+    tied = [f"_t{i}" for i in range(len(ties))] or [f"_c{i}" for i in range(len(carried))]
     rows = docs.select(
-        F.col(id_col).alias("_id"), *[c.alias(f"_c{i}") for i, c in enumerate(carried)], F.col(source_col).alias("_source"),
+        F.col(id_col).alias("_id"), *[c.alias(f"_c{i}") for i, c in enumerate(carried)], F.col(source_col).alias("_source"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)],
         F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHER)).alias("_stream"),
         F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("")).alias("_order"),
     ).withColumn("_bucket", F.substring("_order", 1, 3))
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str
     offsets = counts.select("_stream", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     table = spark.createDataFrame([(s, k, slot, r, d) for s, k, slot, r, d in pfair_period(units)], "_stream string, _k long, _slot long, _release long, _due long")
     share = F.create_map(*[F.lit(x) for s, u in units.items() for x in (s, u)])
-    ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_stream", "_bucket").orderBy("_order", "_id"))).join(offsets, ["_stream", "_bucket"])
+    ranked = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_stream", "_bucket").orderBy("_order", "_id", "_source", *tied))).join(offsets, ["_stream", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1).withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long"))
     ranked = ranked.withColumn("_units", F.element_at(share, F.col("_stream")).cast("long"))
     ranked = ranked.withColumn("_round", F.floor(F.col("_block") / F.col("_units")).cast("long")).withColumn("_k", F.col("_block") % F.col("_units") + 1)

@@ -104,14 +104,15 @@ def plan_shards(splitters: Splitters, bytes_of: dict[int, int], rows_of: dict[in
 
 
 def assign_shards(
-    docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = 8192, sample_rows: int = 65536, rounds: int = 3
+    docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = 8192, sample_rows: int = 65536, range_rows: int = 2_000_000
 ) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row, under the law ``bytes``.
 
     Size is the text's bytes plus 1 (a null text: 1). Shards are near equal in size; equal texts share a
     shard unless their group is larger than a shard, which is then subdivided by id. Slots count
     from 0 without gaps. Null ids sort first; repeated rows get a slot each. An empty table gives
-    no rows. The driver holds ``sample_rows`` sampled keys and ``ranges`` bounds, at any input size.
+    no rows. Ranges are ``ranges``, or more of ``range_rows`` rows each, up to eight times as many; one that is overfull is subdivided until
+    it is not or no more bounds are found. The driver holds about eight times as many sampled keys and the bounds.
     """
     ship(docs.sparkSession)
     base = materialize(
@@ -121,7 +122,8 @@ def assign_shards(
         "shard-base",
     )
     total, rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = max(1, min(ranges, rows))
+    ranges = max(1, min(rows, max(ranges, min(8 * ranges, rows // range_rows))))
+    sample_rows = max(sample_rows, 8 * ranges)
     draw = F.shiftrightunsigned(F.xxhash64("key", "row", F.lit(17)), 11) / F.lit(float(1 << 53))
 
     def sample(frame: DataFrame, weight: int, points: int) -> list[tuple[int, int]]:
@@ -142,10 +144,10 @@ def assign_shards(
         return base.mapInArrow(locate, "id long, size long, crc long, key long, row long, place int" + ", shard int, first long" * (shard is not None))
 
     cuts = Splitters.of(quantile_splitters(sample(base, total, sample_rows), ranges))
-    for left in range(rounds, -1, -1):
+    while True:
         seen = located(cuts).groupBy("place").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most")).collect()
         over = {r["place"]: r["b"] for r in seen if r["b"] > 2 * total / ranges and r["n"] > 1 and r["b"] > r["most"] * 1.5}
-        if not over or not left:
+        if not over:
             break
         pieces = sum(-(-b * ranges // total) for b in over.values())
         found = sample(located(cuts).where(F.col("place").isin(list(over))), sum(over.values()), min(sample_rows, 8 * pieces))

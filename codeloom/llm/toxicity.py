@@ -259,7 +259,7 @@ def letter_statistics(docs: DataFrame, text_col: str = "text", held_words: int =
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, lexicon_words: int = 5000, leaning_words: int = 20_000, evidence: float = 16.0
 ) -> ToxicModel:
-    """A model from at most ``sample_rows`` labelled rows, those whose id's hash is least; copies and near copies (components of ``jaccard_components``) of one label count once.
+    """A model from at most ``sample_rows`` labelled rows, those whose id's hash is least; copies and near copies (components of ``jaccard_components``) of one label count once, and of rows that repeat an id the least text.
 
     The character model is made from the words of all of ``docs``; labelled rows are restored by it before they are counted, and the toxic
     words found then join it. Without rows of both labels the model scores every text alike, at
@@ -270,6 +270,7 @@ def learn(
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(id_col, F.lit(23)), id_col).limit(sample_rows)
     rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), "y", text_or_empty(text_col).alias("text"))  # at most sample_rows ids
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # of rows that repeat an id, the least text
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "toxic-rows")
 
     letters, documents = letter_statistics(docs, text_col)
