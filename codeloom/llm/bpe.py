@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import ship, steps, text_or_empty
@@ -225,20 +225,24 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 4 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 4 << 20, more: Sequence[Column] = ()) -> DataFrame:
     """(id, ids, decoded) of every row: ids packed as little-endian unsigned 32-bit integers, and the text that they decode to.
 
     Whole texts are encoded, without limit or padding; special tokens in a text become their ids.
     A null text counts as empty, and an empty text has no ids. Repeated rows are encoded alike.
-    A worker holds one step of texts and a bounded cache of words. No shuffle.
+    ``more`` are further columns of ``docs`` to carry along. A worker holds one step of texts and a bounded cache of words. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path)
         for part in steps(batches, "text", step_bytes):
             coded = coder.encode_batch(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([a for a, _ in coded], pa.binary()), pa.array([b for _, b in coded], pa.string())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([a for a, _ in coded], pa.binary()), pa.array([b for _, b in coded], pa.string()), *[part.column(c) for c in names]], ["id", "ids", "decoded", *names])
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
+    carried = docs.select(*more)
+    names = [f"_m{i}" for i in range(len(carried.columns))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *[c.alias(n) for c, n in zip(more, names)])
+    types = "".join(f", {n} {f.dataType.simpleString()}" for n, f in zip(names, carried.schema))
+    coded = rows.mapInArrow(run, "id long, ids binary, decoded string" + types)
+    return coded.withColumnsRenamed({"id": id_col, **dict(zip(names, carried.columns))})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
@@ -66,12 +66,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score_quality(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, *more: Column) -> DataFrame:
     """Of each document: the number of its tokens, and digests of its ids and of what they decode to."""
     import public_tokenizers
 
-    coded = bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE))
-    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode_documents(docs, public_tokenizers.path(BPE_FILE), more=more)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *coded.columns[3:])
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,15 +115,27 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(dropped, "_row", "left_anti").select(*columns)
 
 
+def _row_digest(docs: DataFrame) -> Column:
+    """Orders rows with equal ids by all that they hold."""
+    return F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+
+
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, dealt to files and sorted in them by their place in the mix."""
+    """All documents, dealt to files and sorted in them by their place in the mix; the next stage finds the same places again."""
     columns = docs.columns
-    placed = mixing.mix(docs, MIX_UNITS, MIX_BLOCK_ROWS, keep=[c for c in columns if c != "doc_id"])
+    placed = mixing.mix(docs.withColumn("_tie", _row_digest(docs)), MIX_UNITS, MIX_BLOCK_ROWS, keep=[c for c in columns if c != "doc_id"], ties=("_tie",))
     return placed.repartitionByRange("slot", "seat").sortWithinPartitions("slot", "seat").select(*columns)
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_digests(docs)
+    """Each document's token digests with its slot and seat in the mix, in that order.
+
+    Files are read again in no set order, so the places are computed again from the rows, by the mixing operator.
+    """
+    coded = materialize(token_digests(docs, F.col("source"), _row_digest(docs).alias("_tie")), "pipeline-tokens")
+    digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    placed = mixing.mix(coded, MIX_UNITS, MIX_BLOCK_ROWS, keep=digests, ties=("_tie",))
+    return placed.select("doc_id", *digests, "slot", "seat").orderBy("slot", "seat")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -80,6 +80,9 @@ def test_sharding(spark, docs, rows, empty):
     loads = [r["b"] for r in sharding.assign_shards(even, 4, ranges=256, sample_rows=2000).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(loads) == 4 and max(loads) < 1.1 * min(loads)
     assert sharding.assign_shards(with_nulls(spark, rows), 4).count() == len(rows) + 3
+    # Few sampled keys leave overfull ranges, which are subdivided.
+    loads = [r["b"] for r in sharding.assign_shards(even, 4, ranges=64, sample_rows=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(loads) == 4 and max(loads) < 1.3 * min(loads)
 
 
 def test_url_rules(spark):
@@ -95,6 +98,30 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.limit(0), labelled.limit(0), rules).count() == 0
 
 
+def test_url_rules_against_all_subsets(spark):
+    """Mined rules against every set of up to three tokens, with tokens that always go together, repeated and null URLs and clashing columns."""
+    from itertools import combinations
+
+    rnd = random.Random(15)
+    urls = [f"http://{rnd.choice(['a.net', 'b-c.net', 'd.org'])}/{rnd.choice(['x/y', 'x', 'z'])}/{rnd.choice(['p', 'q', ''])}?{rnd.choice(['k=1&m=2', 'k=2', 'n'])}" for _ in range(120)]
+    rows = [(u, int(("b-c" in u and "/z" in u) or rnd.random() < 0.15)) for u in urls]
+    labelled = spark.createDataFrame(rows, "url string, bad int")
+    tokens = {r.url: set(r.t) for r in labelled.select("url", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
+    counts = defaultdict(lambda: [0, 0])
+    for u, bad in rows:
+        for k in (1, 2, 3):
+            for own in combinations(sorted(tokens[u]), k):
+                counts[own][0] += bad
+                counts[own][1] += 1
+    for confidence in (0.1, 0.6):
+        rules = [set(own) for own, (p, n) in counts.items() if p >= 4 and p >= confidence * n]
+        pages = spark.createDataFrame([(i, u, "v", "r") for i, u in enumerate([*urls, urls[0], None, None, "none/"])], "page_id long, url string, verdict string, host string")
+        got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labelled, [], least_rows=4, support=0.001, confidence=confidence).collect()}
+        assert len(got) == len(urls) + 4
+        assert all(got[i] == ("block" if any(rule <= tokens[u] for rule in rules) else "allow") for i, u in enumerate([*urls, urls[0]]))
+        assert {got[i] for i in range(len(urls) + 1, len(urls) + 4)} == {"allow"}
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -167,6 +194,10 @@ def test_mix(spark, docs, rows, empty):
     assert sorted(r.doc_id for r in got) == [r[0] for r in rows] and len({(r.slot, r.seat) for r in got}) == len(rows)
     assert {r.stream for r in got} == {"src0", "src1", "*"} and mixing.mix(empty, {"src0": 1}).count() == 0
     assert mixing.mix(with_nulls(spark, rows), {"src0": 1}).count() == len(rows) + 3
+    # Rows with one id get the same seats however they are dealt.
+    again = spark.createDataFrame([(1, f"t{i}", f"s{i % 3}") for i in range(40)], "doc_id long, text string, source string")
+    seats = [sorted((r.text, r.slot, r.seat) for r in mixing.mix(f, {"s0": 1}, 2, keep=["text"]).collect()) for f in (again.repartition(5), again.coalesce(1))]
+    assert seats[0] == seats[1]
 
 
 def brute_components(rows):
@@ -377,11 +408,31 @@ def test_co_training():
     assert cotraining.co_train(text[:3], meta[:3], y[:3], text[:0], meta[:0]).scores(text[:2], meta[:2])[2].tolist() == pytest.approx([(y[:3].sum() + 0.5) / 4] * 2)
 
 
+def test_exchange_passes_both_labels_or_none():
+    rnd = np.random.default_rng(0)
+    y = (rnd.random(2500) < 0.6).astype(float)
+    text, meta = rnd.normal(size=(2500, 30)), rnd.normal(size=(2500, 30))
+    noise = rnd.normal(size=(2500, 30))
+    text[:, :6] += 1.1 * y[:, None]
+    meta[:, :6] += 1.1 * y[:, None]
+
+    def right(model, other):
+        return [float(((s >= 0.5) == (y[1500:] == 1)).mean()) for s in model.scores(text[1500:], other[1500:])]
+
+    made = [cotraining.co_train(text[:100], meta[:100], y[:100], text[100:1500], meta[100:1500], rounds=n) for n in (0, 5)]
+    assert made[0].passed == [[0, 0], [0, 0]] and all(bad > 0 and good > 0 for bad, good in made[1].passed)
+    assert all(b > a for a, b in zip(right(made[0], meta), right(made[1], meta)))
+    weak = cotraining.co_train(text[:100], noise[:100], y[:100], text[100:1500], noise[100:1500])
+    assert weak.passed[1] == [0, 0]
+
+
 def test_quality_frames(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     model = cotraining.train(docs, labels)
     got = cotraining.score_quality(with_nulls(spark, rows), model).collect()
     assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got)
+    repeated = docs.union(docs).withColumn("score", F.lit("x"))
+    assert cotraining.score_quality(repeated, cotraining.train(repeated, labels)).count() == 2 * len(rows)
     assert cotraining.score_quality(empty, cotraining.train(empty, labels.limit(0))).count() == 0
 
 

@@ -43,6 +43,58 @@ def test_mixing_keeps_all(stages):
     assert stages[3].exceptAll(stages[4]).count() == 0 and stages[4].exceptAll(stages[3]).count() == 0
 
 
+def test_order_of_the_mix(stages):
+    """Places in the mix against the schedule and the order of ids, in plain Python."""
+    import hashlib
+
+    from codeloom.llm import mixing, queries
+
+    units = {**queries.MIX_UNITS}
+    place = {(s, k): slot for s, k, slot, _, _ in mixing.pfair_period(units)}
+    period, rows = sum(units.values()), {}
+    for r in stages[3].collect():
+        rows.setdefault(r.source if r.source in units else mixing.OTHER, []).append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id))
+    want = {}
+    for stream, held in rows.items():
+        for i, (_, doc) in enumerate(sorted(held)):
+            block = i // queries.MIX_BLOCK_ROWS
+            want[doc] = (place[stream, block % units[stream] + 1] + block // units[stream] * period, i % queries.MIX_BLOCK_ROWS)
+    got = stages[5].collect()
+    assert {r.doc_id: (r.slot, r.seat) for r in got} == want
+
+
+def test_quality_keeps_what_the_rules_keep(spark, stages):
+    """The base rules and the learned list, row by row."""
+    import sys
+
+    sys.path.insert(0, __file__.rsplit("/", 1)[0])
+    from test_operators import brute_statistics
+
+    from codeloom.llm import quality_rules
+
+    rules = quality_rules.learn_from_labels(stages[0], spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in stages[0].collect():
+        n, chars, symbols, _, repeats = brute_statistics(r.text)
+        failed = n < 50 or 100 * repeats > 50 * n
+        value = {"n_words": n, "word_length": chars / n if n else 0.0, "symbol_share": symbols / chars if chars else 0.0, "repeat_share": repeats / n if n else 0.0}
+        known = [rule for rule in rules if all(c.feature in value for c in rule)]
+        rejected = any(all((value[c.feature] > c.threshold) == c.above for c in rule) for rule in known)
+        kept = r.doc_id in _ids(stages[1])
+        assert kept == (not failed and not rejected) or len(known) < len(rules)
+
+
+_HELD = {}
+
+
+def _ids(frame):
+    return _HELD.setdefault(id(frame), {r.doc_id for r in frame.select("doc_id").collect()})
+
+
+def test_empty_tables(spark, stages):
+    for (_, stage), frame in zip(corpus_pipeline.STAGES, stages):
+        assert stage(spark, frame.limit(0), SF).count() == 0
+
+
 def test_tokens(stages):
     import hashlib
 
