@@ -86,7 +86,7 @@ class Engine:
 
     def sources(self, paths: list[str]) -> DataFrame:
         """The files of a list that the driver has made by its ignore rules, read by the executors."""
-        listed = self.spark.createDataFrame([(p, i, os.stat(p).st_mtime_ns) for i, p in enumerate(paths)], "path string, file_ord long, mtime long")
+        listed = self.spark.createDataFrame([(p, i, os.stat(p).st_mtime_ns) for i, p in enumerate(paths) if os.path.exists(p)], "path string, file_ord long, mtime long")
         if not paths:
             return listed.withColumn("content", F.lit(None).cast("binary"))
         held = self.spark.read.format("binaryFile").load([f"file://{p}" for p in paths]).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
@@ -110,10 +110,11 @@ class Engine:
             if not incremental.stale(in_scope, listing).limit(1).count():
                 return self._publish(old, root, config, warnings)
         job.phase = "parsing"
-        fresh, failed = scan.index(self.sources(paths), config)
+        kept = None if old is None else incremental.remove_files(old, incremental.evict_missing(old, listing, root))
+        fresh, failed = scan.index(self.sources(paths), config, kept, scan.manifests(paths))
         warnings += [f"not parsed: {r['path']}" for r in failed.limit(100).collect()]
         job.phase = "persisting"
-        made = fresh if old is None else incremental.merge(incremental.remove_files(old, incremental.evict_missing(old, listing, root)), fresh)
+        made = fresh if kept is None else incremental.merge(kept, fresh)
         made.save(f"file://{cache}")
         return self._publish(GraphStore.load(self.spark, f"file://{cache}"), root, config, warnings)
 
@@ -231,7 +232,8 @@ class Engine:
             raise QueryError(f"several classes have this name: {', '.join(r['id'] for r in found)}")
         bare = next((r["name"] for r in found if r["id"] == name), name)
         depth = max(1, depth)
-        return structure.hierarchy(structure.class_neighbourhood(graph, bare, depth), bare, depth, min(max_nodes or 250, 1000))
+        most = min(max_nodes or 250, 1000)
+        return structure.hierarchy(structure.class_neighbourhood(graph, bare, depth, most), bare, depth, most)
 
     def find_class_candidates(self, name: str) -> list[dict]:
         return [r.asDict() for r in lookup.class_candidates(self._need(), name).select(*_COLUMNS).collect()]
@@ -265,12 +267,7 @@ class Engine:
         else:
             edges = graph.of_kind("inherits").select("src", "dst", "file", "line", "file_ord", "edge_ord")
             label = "inherits"
-        edges = edges.select("src", "dst", "file", "line", "file_ord", "edge_ord")
-        both = edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}).select(*edges.columns))
-        first = self.spark.createDataFrame([(start,)], "start string")
-        ball = traverse.reach(both, first, depth).select("node").union(first)
-        near = edges.join(ball.withColumnRenamed("node", "src"), "src", "left_semi").join(ball.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        rows = [(r["src"], r["dst"], label) for r in near.select("src", "dst", "file_ord", "edge_ord").orderBy("file_ord", "edge_ord", "src", "dst").collect()]
+        rows = [(a, b, label) for a, b in structure.bounded_ball(edges, start, depth, most, direction)]
         found = structure.diagram(rows, start, depth, most, direction)
 
         def shown(x: str) -> str:
@@ -283,10 +280,18 @@ class Engine:
 
     # Watching and status
 
-    def watch_start(self, events: str, checkpoint: str) -> dict:
-        """Follows a folder of event files; ``listing_events`` makes them from a polled folder."""
-        self.watcher = Watcher(self._need(), lambda frame: scan.index(self.sources([r["path"] for r in frame.collect()]), self.config)[0])
+    def watch_start(self, events: str, checkpoint: str, poll: bool = True) -> dict:
+        """Follows a folder of event files; with ``poll`` the indexed tree is listed again and again to make them."""
+
+        def parse(frame: DataFrame, graph: GraphStore) -> GraphStore:
+            paths = [r["path"] for r in frame.collect()]
+            return scan.index(self.sources(paths), self.config, graph, scan.manifests(paths))[0]
+
+        self.watcher = Watcher(self._need(), parse)
+        os.makedirs(events.removeprefix("file://"), exist_ok=True) if poll else None
         self.watcher.start(self.spark, events, checkpoint)
+        if poll and self.root:
+            self.watcher.poll(self.spark, self.root, events)
         return {"watching": True}
 
     def watch_stop(self) -> dict:

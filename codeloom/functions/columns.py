@@ -51,11 +51,6 @@ def under(path: Column, prefix: str) -> Column:
     return (path == prefix) | path.startswith(prefix + "/") if prefix else F.lit(True)
 
 
-def path_key(path: Column) -> Column:
-    """Sorts paths by component rather than by byte."""
-    return F.split(path, "/")
-
-
 def language_of(path: Column, extensions: dict[str, str] | None = None, disabled: tuple[str, ...] = ()) -> Column:
     """The language of a path's extension, in lower case; null if none. ``extensions`` adds to or overrides the built-in ones."""
     table = {k: v for k, v in (EXTENSIONS | (extensions or {})).items() if k not in disabled and v not in disabled}

@@ -41,6 +41,14 @@ def remove_subtree(graph: GraphStore, prefix: str) -> GraphStore:
     return remove_files(graph, graph.files.where(under(F.col("path"), prefix)).select("path"))
 
 
+def remove_below(graph: GraphStore, paths: DataFrame) -> GraphStore:
+    """Without the files of some paths and all files in folders of these paths, by an equi-join on each file's ancestors."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = graph.files.select("path", F.explode(ups).alias("above"))
+    return remove_files(graph, above.join(paths.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select("path"))
+
+
 def merge(graph: GraphStore, fresh: GraphStore) -> GraphStore:
     """``fresh`` in place of its files; ids that vanish take their edges with them. Merging twice changes nothing."""
     kept, gone = _without(graph, fresh.files.select("path"))

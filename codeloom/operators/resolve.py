@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import basename, id_parent
@@ -56,14 +56,9 @@ def longest_prefix(files: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def resolve_rust_modules(declared: DataFrame, files: DataFrame) -> DataFrame:
-    """(src_file, dst_file) of ``mod`` items (src_file, name, path): an explicit path alone, else ``name.rs``, else ``name/mod.rs``."""
+    """(src_file, dst_file, line, seq) of ``mod`` items (src_file, name, path, line, seq): an explicit path alone, else ``name.rs``, else ``name/mod.rs``."""
     stem = F.regexp_replace(F.col("src_file"), r"(/(mod|lib|main))?\.rs$", "")
     folder = F.regexp_extract("src_file", "^(.*)/[^/]*$", 1)
     options = F.when(F.col("path").isNotNull(), F.array(F.concat(folder, F.lit("/"), F.col("path")))).otherwise(F.array(F.concat(stem, F.lit("/"), F.col("name"), F.lit(".rs")), F.concat(stem, F.lit("/"), F.col("name"), F.lit("/mod.rs"))))
-    tried = declared.select("src_file", "name", F.posexplode(options).alias("rank", "dst_file"))
-    return tried.join(files.select(F.col("path").alias("dst_file")), "dst_file", "left_semi").groupBy("src_file", "name").agg(F.min_by("dst_file", "rank").alias("dst_file")).select("src_file", "dst_file")
-
-
-def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    tried = declared.select("src_file", "name", "line", "seq", F.posexplode(options).alias("rank", "dst_file"))
+    return tried.join(files.select(F.col("path").alias("dst_file")), "dst_file", "left_semi").groupBy("src_file", "name", "line", "seq").agg(F.min_by("dst_file", "rank").alias("dst_file")).select("src_file", "dst_file", "line", "seq")

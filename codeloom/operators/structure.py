@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import CALLABLE, SYNTHETIC_PREFIX, TEMPLATE_PREFIX, is_virtual, under
@@ -79,17 +79,61 @@ def inferred_overrides(graph: GraphStore) -> DataFrame:
     return own.join(above, "parent").join(theirs, ["base", "name"]).select("src", "dst").distinct()
 
 
-def class_neighbourhood(graph: GraphStore, name: str, depth: int) -> list[tuple[str, str, int]]:
-    """Inherits edges (derived, base, order) within ``depth`` + 1 hops of a name, either way."""
-    edges = graph.of_kind("inherits").select("src", "dst", "edge_ord")
-    spark = edges.sparkSession
-    near = spark.createDataFrame([(name,)], "n string")
+def first_arms(edges: DataFrame, nodes: list[str], most: int) -> DataFrame:
+    """(node, other, out) of the first ``most`` different neighbours, each way, of a bounded list of nodes, by the edges' order (file_ord, edge_ord)."""
+    held = F.broadcast(edges.sparkSession.createDataFrame([(n,) for n in nodes], "node string"))  # the caller bounds the list
+    order = F.struct("file_ord", "edge_ord", "src", "dst").alias("o")
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(True).alias("out"), order).join(held, "node", "left_semi")
+    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(False).alias("out"), order).join(held, "node", "left_semi")
+    once = out.unionByName(into).groupBy("node", "other", "out").agg(F.min("o").alias("o"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("node", "out").orderBy("o")))
+    return ranked.where(F.col("n") <= most).select("node", "other", "out", "o")
+
+
+def bounded_ball(edges: DataFrame, start: str, depth: int, most: int, direction: str = "both") -> list[tuple[str, str]]:
+    """The edges (src, dst), in their order, that a walk from ``start`` over ``most`` nodes and ``depth`` hops can show.
+
+    A hop looks at ``most`` nodes at most, and at twice as many neighbours of each: more cannot be taken. Edges between the nodes found
+    this way are all there, each once. The driver holds no more than these.
+    """
+    met, frontier = {start: None}, [start]
+    for _ in range(depth):
+        rows = first_arms(edges, frontier, 2 * most + 1).orderBy("o").collect()
+        arms: dict[str, list] = {}
+        for r in rows:
+            if direction == "both" or r["out"] == (direction == "outgoing"):
+                arms.setdefault(r["node"], []).append(r)
+        found: dict[str, None] = {}
+        for node in frontier:
+            for r in sorted(arms.get(node, []), key=lambda r: not r["out"]):
+                if r["other"] not in met:
+                    found[r["other"]] = None
+        frontier = list(found)[:most]
+        met |= dict.fromkeys(frontier)
+        if not frontier or len(met) > most:
+            break
+    held = edges.sparkSession.createDataFrame([(n,) for n in met], "node string")
+    inner = edges.join(F.broadcast(held.withColumnRenamed("node", "src")), "src", "left_semi").join(F.broadcast(held.withColumnRenamed("node", "dst")), "dst", "left_semi")  # 2 * most names at most
+    once = inner.groupBy("src", "dst").agg(F.min(F.struct("file_ord", "edge_ord")).alias("o"))
+    return [(r["src"], r["dst"]) for r in once.orderBy("o", "src", "dst").collect()]
+
+
+def class_neighbourhood(graph: GraphStore, name: str, depth: int, most: int = 250, held: int = 20_000) -> list[tuple[str, str, int]]:
+    """Inherits edges (derived, base, order) within ``depth`` + 1 hops of a name, either way, as far as a tree of ``most`` classes can show them.
+
+    A class needs no more than ``most`` + 1 bases or heirs; beyond ``held`` names no further hop is made.
+    """
+    edges = graph.of_kind("inherits").select("src", "dst", "file_ord", "edge_ord")
+    near, frontier = {name: None}, [name]
     for _ in range(depth + 1):
-        up = edges.join(F.broadcast(near.withColumnRenamed("n", "src")), "src", "left_semi").select(F.col("dst").alias("n"))  # bounded by the tree's budget
-        down = edges.join(F.broadcast(near.withColumnRenamed("n", "dst")), "dst", "left_semi").select(F.col("src").alias("n"))
-        near = near.union(up).union(down).distinct()
-    kept = edges.join(near.withColumnRenamed("n", "src"), "src", "left_semi").join(near.withColumnRenamed("n", "dst"), "dst", "left_semi")
-    return [(r[0], r[1], r[2]) for r in kept.select("src", "dst", "edge_ord").orderBy("edge_ord", "src", "dst").collect()]
+        found = [r["other"] for r in first_arms(edges, frontier, most + 1).orderBy("o").collect()]
+        frontier = [n for n in dict.fromkeys(found) if n not in near][:held]
+        near |= dict.fromkeys(frontier)
+        if not frontier or len(near) > held:
+            break
+    names = edges.sparkSession.createDataFrame([(n,) for n in near], "node string")
+    kept = edges.join(F.broadcast(names.withColumnRenamed("node", "src")), "src", "left_semi").join(F.broadcast(names.withColumnRenamed("node", "dst")), "dst", "left_semi")  # 2 * held names at most
+    return [(r[0], r[1], r[2]) for r in kept.groupBy("src", "dst").agg(F.min("edge_ord").alias("o")).orderBy("o", "src", "dst").collect()]
 
 
 def hierarchy(edges: list[tuple[str, str, int]], name: str, depth: int = 1, most: int = 250) -> dict:

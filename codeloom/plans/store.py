@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,36 +15,42 @@ SYMBOLS = "id string, name string, kind string, file string, line long, column l
 EDGES = "src string, dst string, kind string, file string, line long, confidence string, file_ord long, edge_ord long"
 INCLUDES = "src_file string, dst_file string, line long, seq long"
 FILES = "path string, language string, mtime long, merge_ord long"
-VERSION = 1
+POINTER = "version string, format int, at long"
+VERSION = 2
 
 
 @dataclass(frozen=True)
 class GraphStore:
-    """``occurrences`` has a row for every symbol found; ``symbols`` keeps the last of each id."""
+    """``occurrences`` has a row for every symbol found; ``symbols`` keeps the last of each id, as ``stored`` or by a window within files."""
 
     occurrences: DataFrame
     edges: DataFrame
     includes: DataFrame
     files: DataFrame
+    stored: DataFrame | None = None
 
     @property
     def symbols(self) -> DataFrame:
-        last = Window.partitionBy("id").orderBy(F.desc("file_ord"), F.desc("sym_ord"))
+        if self.stored is not None:
+            return self.stored
+        # An id begins with its file, so filters on files pass below the window.
+        last = Window.partitionBy("file", "id").orderBy(F.desc("file_ord"), F.desc("sym_ord"))
         return self.occurrences.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
     def of_kind(self, kind: str) -> DataFrame:
         return self.edges.where(F.col("kind") == kind)
 
     def save(self, path: str) -> None:
-        """Writes a new version beside the others and points to it last, so that readers see one version or the other."""
-        import uuid
+        """Writes a new version beside the others, symbols without repeats among it, and adds a pointer to it last.
 
+        Pointers are only added and the latest one counts, so that readers see one version or the other at any time.
+        """
         version = uuid.uuid4().hex
         self.edges.write.partitionBy("kind").parquet(f"{path}/{version}/edges")
-        for name in ("occurrences", "includes", "files"):
+        for name in ("occurrences", "includes", "files", "symbols"):
             getattr(self, name).write.parquet(f"{path}/{version}/{name}")
         spark = self.files.sparkSession
-        spark.createDataFrame([(version, VERSION)], "version string, format int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_current")
+        spark.createDataFrame([(version, VERSION, time.time_ns())], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/_versions")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> GraphStore | None:
@@ -50,13 +58,14 @@ class GraphStore:
         from pyspark.errors import AnalysisException
 
         try:
-            found = spark.read.parquet(f"{path}/_current").first()
+            found = spark.read.schema(POINTER).parquet(f"{path}/_versions").orderBy(F.desc("at"), "version").first()
         except AnalysisException:
             return None
         if found is None or found["format"] != VERSION:
             return None
-        schemas = {"occurrences": SYMBOLS, "edges": EDGES, "includes": INCLUDES, "files": FILES}
-        return GraphStore(**{name: spark.read.schema(schema).parquet(f"{path}/{found['version']}/{name}") for name, schema in schemas.items()})
+        schemas = {"occurrences": SYMBOLS, "edges": EDGES, "includes": INCLUDES, "files": FILES, "symbols": SYMBOLS}
+        tables = {name: spark.read.schema(schema).parquet(f"{path}/{found['version']}/{name}") for name, schema in schemas.items()}
+        return GraphStore(tables["occurrences"], tables["edges"], tables["includes"], tables["files"], tables["symbols"])
 
     def inconsistent(self) -> DataFrame:
         """Symbols whose id is not the one that their columns make."""

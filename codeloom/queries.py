@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import id_basename, id_file, id_parent, qualified, rfc3339
@@ -26,10 +26,10 @@ _SYMBOLS = """sym AS (SELECT concat(replace(p_name, ' ', '_'), '_', p_partkey) A
   CASE WHEN p_size % 8 = 1 THEN concat('C', p_size) ELSE '' END AS parent,
   ['cpp','rust','go','python','csharp','java'][p_partkey % 6 + 1] AS language, p_partkey AS sym_ord FROM part),
 s AS (SELECT concat(file, ':', CASE WHEN parent = '' THEN name ELSE concat(parent, '::', name) END) AS id, * FROM sym)"""
-_CALLS = """step AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_partkey, lead(l_partkey) OVER w AS nxt, l_orderkey * 64 + row_number() OVER w AS edge_ord
+_CALLS = """step AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey, lead(l_partkey) OVER w AS nxt, l_orderkey * 64 + row_number() OVER w AS edge_ord
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag)),
 calls AS (SELECT a.id AS src, b.id AS dst, a.file, b.file AS dst_file, l_linenumber::BIGINT AS line, CASE WHEN l_returnflag = 'R' THEN 'heuristic' ELSE 'resolved' END AS confidence, edge_ord
-  FROM step JOIN s a ON a.sym_ord = l_partkey JOIN s b ON b.sym_ord = nxt WHERE l_quantity <= 2)"""
+  FROM step JOIN s a ON a.sym_ord = l_partkey JOIN s b ON b.sym_ord = nxt - nxt % 3)"""
 _INCLUDES = """inc AS (SELECT f.file AS src_file, t.file AS dst_file, f.line FROM (SELECT file, min(sym_ord) AS o, arg_min(line, sym_ord) AS line FROM s GROUP BY file) f
   JOIN s t ON t.sym_ord = (f.o * 7 + f.line) % (SELECT count(*) FROM part))"""
 _INHERITS = "inh AS (SELECT a.name AS src, b.name AS dst, a.sym_ord FROM s a JOIN s b ON b.sym_ord = a.sym_ord - 1 - a.line WHERE a.sym_ord % 3 <> 0)"
@@ -86,9 +86,11 @@ def _(g, spark, d):
     return lookup.search(g, "^C[0-9]+::.*_1[0-9]*$").select(*_SHOWN)
 
 
-@query("search_substring", f"{_SHOW} WHERE contains(lower(CASE WHEN parent = '' THEN name ELSE parent || '::' || name END), 'c1(') OR (contains(lower(name), '_11') AND FALSE)")
+@query("search_substring", "SELECT id, upper(name) || '(' AS name FROM s WHERE contains(lower(name) || '(', '1(')")
 def _(g, spark, d):
-    return lookup.search(g, "C1(").select(*_SHOWN)
+    # No pattern, as its bracket stays open: sought as text, case aside.
+    named = g.symbols.withColumn("name", F.concat(F.upper("name"), F.lit("(")))
+    return lookup.search(GraphStore(named, g.edges, g.includes, g.files, named), "1(").select("id", "name")
 
 
 @query("search_filters", f"{_SHOW} WHERE kind = 'method' AND language = 'rust' AND contains(namespace, '1') AND regexp_matches(parent || '::' || name, '_[0-9]*7', 'i')")
@@ -111,6 +113,13 @@ def _(g, spark, d):
     return lookup.near(g, _one(g, 7, "name"), 3).select("id", "name", F.col("distance").cast("long").alias("distance"))
 
 
+@query("near_rank", """, q AS (SELECT name AS qn, lower(name) AS q FROM s WHERE sym_ord = 7), n AS (SELECT id, name, levenshtein(lower(name), q) AS distance, len(list_filter(range(1, length(q) + 1), lambda i: starts_with(lower(name), left(q, i)))) AS common, length(name) < length(qn) AS shorter, abs(length(name) - length(qn)) AS off FROM s, q)
+  SELECT id, row_number() OVER (ORDER BY distance, common DESC, shorter, off, name, id) AS rank FROM n WHERE distance <= 8 ORDER BY rank LIMIT 50""")
+def _(g, spark, d):
+    found = lookup.near(g, _one(g, 7, "name"), 8).select("id").limit(50)
+    return found.withColumn("rank", F.monotonically_increasing_id() + 1)  # one page of an ordered frame is one partition
+
+
 @query("symbol_summary", "SELECT CASE WHEN namespace = '' THEN '<global>' ELSE namespace END AS namespace, kind, count(*) AS count FROM s GROUP BY ALL")
 def _(g, spark, d):
     return lookup.summary(g)
@@ -172,12 +181,12 @@ def _(g, spark, d):
 
 
 def _starts(g: GraphStore) -> DataFrame:
-    return g.symbols.where("kind IN ('function', 'method') AND sym_ord % 10 = 0").select(F.col("id").alias("start"))
+    return g.symbols.where("kind IN ('function', 'method')").select(F.col("id").alias("start"))
 
 
 def _bfs(source: str, target: str, depth: int, where: str = "TRUE") -> str:
     return f""", e AS (SELECT DISTINCT {source} AS a, {target} AS b FROM calls WHERE {where}),
-walk(start, node, depth) AS (SELECT id, id, 0 FROM s WHERE kind IN ('function', 'method') AND sym_ord % 10 = 0 UNION SELECT start, b, depth + 1 FROM walk JOIN e ON e.a = node WHERE depth < {depth})
+walk(start, node, depth) AS (SELECT id, id, 0 FROM s WHERE kind IN ('function', 'method') UNION SELECT start, b, depth + 1 FROM walk JOIN e ON e.a = node WHERE depth < {depth})
 SELECT start, node, min(depth)::BIGINT AS depth FROM walk GROUP BY start, node HAVING min(depth) > 0"""
 
 
@@ -187,7 +196,7 @@ for _name, _walk, _depth, _sure in (("callers_d1", traverse.callers, 1, False),
     )
 
 
-@query("callees_first_site", ", f AS (SELECT src AS start, dst AS node, file, line, row_number() OVER (PARTITION BY src, dst ORDER BY edge_ord, file, line) AS n FROM calls WHERE src <> dst AND src IN (SELECT id FROM s WHERE kind IN ('function', 'method') AND sym_ord % 10 = 0)) SELECT start, node, file, line FROM f WHERE n = 1", "calls")
+@query("callees_first_site", ", f AS (SELECT src AS start, dst AS node, file, line, row_number() OVER (PARTITION BY src, dst ORDER BY edge_ord, file, line) AS n FROM calls WHERE src <> dst AND src IN (SELECT id FROM s WHERE kind IN ('function', 'method'))) SELECT start, node, file, line FROM f WHERE n = 1", "calls")
 def _(g, spark, d):
     return traverse.callees(g, _starts(g), 1).select("start", "node", "file", "line")
 
@@ -206,9 +215,14 @@ def _(g, spark, d):
     return traverse.cycles(g, most_files=3).withColumn("files", F.array_join("files", "|"))
 
 
-@query("cycles_subtree", _SCC + " SELECT first, array_to_string(files, '|') AS files, original_len FROM c WHERE len(list_filter(files, lambda f: NOT starts_with(f, '/src/'))) = 0", "inc", recursive=True)
+@query("cycles_subtree", "SELECT min(file) AS first, string_agg(file, '|' ORDER BY file) AS files, count(*) AS original_len FROM (SELECT DISTINCT file FROM s WHERE starts_with(file, '/src/' || (SELECT regexp_extract(file, '/src/([^/]*)/', 1) FROM s WHERE sym_ord = 5) || '/')) HAVING count(*) > 1")
 def _(g, spark, d):
-    return traverse.cycles(g, subtree="/src").withColumn("files", F.array_join("files", "|"))
+    # Every folder's files include one another in a ring; one folder's ring is under the subtree, the others' are not.
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    by = Window.partitionBy("folder").orderBy("path")
+    ring = g.files.select("path", folder.alias("folder")).withColumns({"next": F.lead("path").over(by), "first": F.first("path").over(by)})
+    ring = ring.select(F.col("path").alias("src_file"), F.coalesce("next", "first").alias("dst_file"), F.lit(1).cast("long").alias("line"), F.lit(0).cast("long").alias("seq"))
+    return traverse.cycles(GraphStore(g.occurrences, g.edges, ring, g.files), subtree=_one(g, 5, "file").rsplit("/", 1)[0]).withColumn("files", F.array_join("files", "|"))
 
 
 def _names(g: GraphStore) -> DataFrame:
@@ -279,10 +293,8 @@ def _(g, spark, d):
 def _(g, spark, d):
     start = g.includes.agg(F.min("src_file")).first()[0]
     inc = g.includes.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst"), "line", F.lit("").alias("file"), F.lit(0).cast("long").alias("file_ord"), F.lit(0).cast("long").alias("edge_ord"))
-    near = traverse.reach(inc.unionByName(inc.withColumns({"src": F.col("dst"), "dst": F.col("src")})), spark.createDataFrame([(start,)], "start string"), 2).select("node").union(spark.createDataFrame([(start,)], "node string"))
-    ball = inc.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    edges = [(r[0], r[1], "includes") for r in ball.select("src", "dst").orderBy("src", "dst").collect()]
-    return spark.createDataFrame([(a, b) for a, b, _ in structure.diagram(edges, start, 2, 10**6)], "from string, to string")
+    edges = [(a, b, "includes") for a, b in structure.bounded_ball(inc, start, 2, 500)]
+    return spark.createDataFrame([(a, b) for a, b, _ in structure.diagram(edges, start, 2, 500)], "from string, to string")
 
 
 @query("stale_files", ", f AS (SELECT file AS path, min(sym_ord) AS t FROM s GROUP BY file), c AS (SELECT path, CASE WHEN t % 3 = 0 THEN t + 1 ELSE t END AS t FROM f WHERE t % 5 <> 0) SELECT coalesce(f.path, c.path) AS path FROM f FULL JOIN c USING (path) WHERE f.t IS DISTINCT FROM c.t")
@@ -301,21 +313,44 @@ def _(g, spark, d):
     return incremental.remove_subtree(g, "/src/brand1").of_kind("calls").select("src", "dst", "line")
 
 
-@query("watch_upsert", "SELECT path, arg_max(is_remove, (ts, event_id)) AS is_remove, count(*) AS events FROM ev GROUP BY path", "ev")
+_BUSY = "(SELECT file FROM s GROUP BY file ORDER BY count(*) DESC, file LIMIT 1)"
+
+
+@query("watch_upsert", f""", gone AS (SELECT arg_max(id, sym_ord) AS id FROM s WHERE file = {_BUSY}), t AS (SELECT id, {_SHORT} AS name, file, parent, language, sym_ord FROM s WHERE id NOT IN (SELECT id FROM gone)),
+  raw AS (SELECT c.src, c.edge_ord, c.file, b.language, regexp_replace(b.name, '_[0-9]+$', '') AS token, a.parent AS cp FROM calls c JOIN s a ON a.id = c.src JOIN s b ON b.id = c.dst WHERE c.file = {_BUSY} AND c.src NOT IN (SELECT id FROM gone)),
+  k AS (SELECT raw.src, raw.edge_ord, t.id, (CASE WHEN t.file = raw.file THEN 4 ELSE 0 END) + (CASE WHEN raw.cp <> '' AND t.parent = raw.cp THEN 3 ELSE 0 END) AS score, t.sym_ord FROM raw JOIN t ON t.language = raw.language AND t.name = raw.token),
+  p AS (SELECT src, edge_ord, arg_min(id, (-score, sym_ord)) AS dst, count(*) AS n FROM k GROUP BY src, edge_ord)
+  SELECT src, dst, edge_ord, confidence FROM calls WHERE file <> {_BUSY} AND dst NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT raw.src, coalesce(p.dst, raw.token), raw.edge_ord, CASE WHEN n > 1 THEN 'heuristic' ELSE 'resolved' END FROM raw LEFT JOIN p USING (src, edge_ord)""", "calls")
 def _(g, spark, d):
-    return incremental.last_events(projection.file_events(spark, d))
+    # The file with most symbols loses its last one; its calls are resolved against all files and take the place of its old ones.
+    file = g.symbols.groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "file").first()["file"]
+    last = g.symbols.where(F.col("file") == file).agg(F.max("sym_ord")).first()[0]
+    kept = g.symbols.where(F.col("sym_ord") != last)
+    short = F.regexp_replace("name", "_[0-9]+$", "")
+    names = g.symbols.select(F.col("id").alias("dst"), short.alias("token"), "language")
+    fresh = kept.where(F.col("file") == file)
+    raw = g.of_kind("calls").where(F.col("file") == file).join(fresh.select(F.col("id").alias("src")), "src", "left_semi").join(names, "dst").select("src", "token", "language", "file", "line", "edge_ord")
+    solved = resolve.resolve_calls(raw, kept.select("language", short.alias("key"), "id", "file", "parent", "file_ord", "sym_ord"))
+    solved = solved.select("src", "dst", F.lit("calls").alias("kind"), "file", "line", "confidence", F.lit(0).cast("long").alias("file_ord"), "edge_ord")
+    merged = incremental.merge(g, GraphStore(fresh, solved, g.includes.where(F.col("src_file") == file), g.files.where(F.col("path") == file)))
+    return merged.of_kind("calls").select("src", "dst", "edge_ord", "confidence")
 
 
-@query("watch_debounce", ", o AS (SELECT path, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 250 MILLISECOND THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts)), n AS (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS burst FROM o) SELECT path, count(*) AS events, count(DISTINCT burst) AS bursts FROM n GROUP BY path", "ev")
+@query("watch_remove_folder", ", f AS (SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS folder FROM s WHERE sym_ord = 5) SELECT src, dst, edge_ord FROM calls WHERE NOT starts_with(file, (SELECT folder FROM f) || '/') AND NOT starts_with(dst_file, (SELECT folder FROM f) || '/')", "calls")
 def _(g, spark, d):
-    return incremental.debounced(projection.file_events(spark, d)).groupBy("path").agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("bursts"))
+    folder = _one(g, 5, "file").rsplit("/", 1)[0]
+    return incremental.remove_below(g, spark.createDataFrame([(folder,)], "path string")).of_kind("calls").select("src", "dst", "edge_ord")
+
+
+@query("watch_last_event", "SELECT path, arg_max(is_remove, (ts, event_id)) AS is_remove, count(*) AS events FROM ev GROUP BY path", "ev")
+def _(g, spark, d):
+    return incremental.last_events(projection.file_events(spark, d))
 
 
-@query("link_dependencies", ", h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) SELECT page_id, target, count(*) AS count FROM h GROUP BY ALL")
+@query("watch_debounce", ", o AS (SELECT path, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 250 MILLISECOND THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY path ORDER BY ts)), n AS (SELECT path, ts, sum(new) OVER (PARTITION BY path ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS burst FROM o) SELECT path, count(*) AS events, count(DISTINCT burst) AS bursts FROM n GROUP BY path", "ev")
 def _(g, spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
-    return links.groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("count"))
+    return incremental.debounced(projection.file_events(spark, d)).groupBy("path").agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("bursts"))
 
 
 @query("bench_lang_breakdown", "SELECT language AS key, count(*) AS symbols, count(DISTINCT file) AS files FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")

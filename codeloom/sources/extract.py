@@ -69,10 +69,7 @@ class PythonPlugin(LanguagePlugin):
 
     def extract(self, text: str, path: str) -> Found:
         found = Found()
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError):
-            return found
+        tree = ast.parse(text)
         lines = text.split("\n")
 
         def visit(node: ast.AST, parent: str, caller: str, top: bool) -> None:
@@ -283,6 +280,9 @@ class RustPlugin(BracePlugin):
         for m in re.finditer(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s+([^;]+)|extern\s+crate\s+(\w+)|mod\s+(\w+))\s*;", clean):
             for token in self.expand(re.sub(r"\s+", " ", m.group(1))) if m.group(1) else [m.group(2) or m.group(3)]:
                 found.edge(path, token, "includes", line(m.start(1) if m.group(1) else m.start(2) if m.group(2) else m.start(3)))
+            if m.group(3):  # the file of a module: its name, and the path that an attribute gives
+                given = re.search(r"#\[\s*path\s*=\s*\"([^\"]+)\"\s*\]\s*(?:#\[[^\]]*\]\s*)*$", text[: m.start()].rstrip() + "\n")
+                found.edge(path, f"{m.group(3)}={given.group(1)}" if given else m.group(3), "mod", line(m.start(3)))
 
     def expand(self, tree: str) -> list[str]:
         tree = tree.strip()

@@ -36,11 +36,11 @@ def _edge(src: Column, dst: Column, kind: str, file: Column, line: Column, confi
 
 
 def calls(spark: SparkSession, sf_dir: str, symbols: DataFrame) -> DataFrame:
-    """Within an order, each line's part calls the next line's; lines of quantity 2 at most stay. Ordinals are per order."""
+    """Within an order, each line's part calls the next line's, or the one or two keys before it that is a multiple of three. Ordinals are per order."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag"]
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity", *order)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *order)
     by = Window.partitionBy("l_orderkey").orderBy(*order)
-    steps = lines.withColumns({"to": F.lead("l_partkey").over(by), "at": F.row_number().over(by)}).where("l_quantity <= 2 AND to IS NOT NULL")
+    steps = lines.withColumns({"next": F.lead("l_partkey").over(by), "at": F.row_number().over(by)}).withColumn("to", F.expr("next - next % 3")).where("to IS NOT NULL")
     a = symbols.select(F.col("sym_ord").alias("l_partkey"), F.col("id").alias("src"), "file")
     b = symbols.select(F.col("sym_ord").alias("to"), F.col("id").alias("dst"))
     sure = F.when(F.col("l_returnflag") == "R", F.lit("heuristic")).otherwise(F.lit("resolved"))
@@ -62,7 +62,7 @@ def graph(spark: SparkSession, sf_dir: str) -> GraphStore:
     edges = edges.union(inherits.select(*_edge(F.col("name"), F.col("base"), "inherits", F.col("file"), F.lit(0), F.lit("resolved"), F.col("sym_ord"))))
     edges = edges.union(overrides.select(*_edge(F.col("id"), F.col("dst"), "overrides", F.col("file"), F.col("line"), F.lit("resolved"), F.col("sym_ord"))))
     files = found.groupBy("file").agg(F.min("language").alias("language"), F.min("sym_ord").alias("mtime"), F.min("sym_ord").alias("merge_ord")).withColumnRenamed("file", "path")
-    return GraphStore(found, edges, includes, files)
+    return GraphStore(found, edges, includes, files, found)  # names hold the key, so no id repeats
 
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:

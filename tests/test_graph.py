@@ -134,3 +134,21 @@ def test_resolution_scores(spark):
     raw = spark.createDataFrame([("/b.cpp:m", "f", "cpp", "/b.cpp", 1, 0), ("/c.cpp:m", "f", "cpp", "/c.cpp", 1, 0), ("/c.cpp:m", "g", "cpp", "/c.cpp", 2, 1), ("/c.cpp:m", "h", "cpp", "/c.cpp", 3, 2)], "src string, token string, language string, file string, line long, edge_ord long")
     got = {(r.src, r.token): (r.dst, r.confidence) for r in resolve.resolve_calls(raw, index).collect()}
     assert got == {("/b.cpp:m", "f"): ("/b.cpp:f", "heuristic"), ("/c.cpp:m", "f"): ("/a.cpp:f", "heuristic"), ("/c.cpp:m", "g"): ("/b.cpp:g", "resolved"), ("/c.cpp:m", "h"): ("h", "resolved")}
+
+
+def test_bounded_walks_against_whole_ones(spark):
+    """Diagrams and hierarchies from bounded neighbourhoods against the same walks over all edges."""
+    rnd = random.Random(21)
+    pairs = [(f"n{rnd.randrange(40):02}", f"n{rnd.randrange(40):02}") for _ in range(150)] + [("n00", f"x{i:03}") for i in range(120)] + [(f"y{i:03}", "n01") for i in range(60)]
+    rows = [(a, b, "inherits", "/f", 1, "resolved", 0, i) for i, (a, b) in enumerate(pairs) if a != b]
+    edges = spark.createDataFrame(rows, EDGES).cache()
+    whole = list(dict.fromkeys((r[0], r[1]) for r in rows))
+    store = GraphStore(None, edges, None, None)
+    for start in ("n00", "n07"):
+        for depth, most, direction in ((1, 5, "both"), (2, 12, "both"), (2, 30, "outgoing"), (3, 200, "incoming")):
+            want = structure.diagram([(a, b, "x") for a, b in whole], start, depth, most, direction)
+            got = structure.diagram([(a, b, "x") for a, b in structure.bounded_ball(edges, start, depth, most, direction)], start, depth, most, direction)
+            assert got == want, (start, depth, most, direction)
+        for depth, most in ((1, 6), (2, 25)):
+            want = structure.hierarchy([(a, b, 0) for a, b in whole], start, depth, most)
+            assert structure.hierarchy(structure.class_neighbourhood(store, start, depth, most), start, depth, most) == want

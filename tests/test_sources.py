@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from codeloom.sources.extract import CppPlugin, PythonPlugin, Registry, default_registry
-from codeloom.sources.scan import discover, index
+from codeloom.sources.scan import discover, index, manifests
 from codeloom.streaming.watch import EVENTS, Watcher, listing_events
 
 
@@ -45,7 +45,8 @@ def test_python():
     got = extract("/a.py", "import os\nfrom . import x, y\nfrom .m import z\n\nclass A(B, c.D):\n    def m(self):\n        self.k()\n\ndef f():\n    import late\n    g()\n\nf()\n")
     assert names(got) == [("A", ""), ("m", "A"), ("f", "")] and edges(got, "inherits") == [("A", "B"), ("A", "D")]
     assert [t for _, t in edges(got, "includes")] == ["os", ".x", ".y", ".m"] and ("/a.py", "f") in edges(got, "calls") and ("/a.py:A::m", "k") in edges(got, "calls")
-    assert extract("/bad.py", "def (").symbols == []
+    with pytest.raises(SyntaxError):
+        extract("/bad.py", "def (")
 
 
 def test_csharp_and_java():
@@ -82,7 +83,7 @@ def test_discover_index_watch(spark, tmp_path):
     (tmp_path / "b.py").unlink()
     changed, _ = listing_events(before, str(tmp_path))
     assert changed == [(f"{tmp_path}/b.py", True)]
-    watcher = Watcher(graph, lambda frame: index(sources([r.path for r in frame.collect()]))[0])
+    watcher = Watcher(graph, lambda frame, graph: index(sources([r.path for r in frame.collect()]), base=graph)[0])
     now = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(f"{tmp_path}/b.py", True, now, 1)], EVENTS)
     events.write.parquet(str(tmp_path / "events"))
@@ -90,3 +91,82 @@ def test_discover_index_watch(spark, tmp_path):
     query.processAllAvailable()
     watcher.stop()
     assert watcher.graph.of_kind("calls").count() == 0 and [r.name for r in watcher.graph.symbols.collect()] == ["f"]
+
+
+def write_tree(top, **files):
+    for name, text in files.items():
+        path = top / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+
+def read_tree(spark, paths):
+    rows = [(str(p), bytearray(open(p, "rb").read()), i, 1) for i, p in enumerate(paths)]
+    return spark.createDataFrame(rows, "path string, content binary, file_ord long, mtime long")
+
+
+def test_a_delta_is_resolved_against_all_files(spark, tmp_path):
+    write_tree(tmp_path, **{"a.h": "int helper(int);\n", "a.cpp": '#include "a.h"\nint helper(int x) {\n  return x;\n}\n', "b.cpp": '#include "a.h"\nint user() {\n  return helper(1);\n}\n'})
+    graph, _ = index(read_tree(spark, discover(str(tmp_path))))
+    want = sorted(map(tuple, graph.edges.select("src", "dst", "line").collect())), sorted(map(tuple, graph.includes.select("src_file", "dst_file").collect()))
+    assert (f"{tmp_path}/b.cpp:user", f"{tmp_path}/a.cpp:helper", 3) in want[0] and (f"{tmp_path}/b.cpp", f"{tmp_path}/a.h") in want[1]
+    watcher = Watcher(graph, lambda frame, held: index(read_tree(spark, [r.path for r in frame.collect()]), base=held)[0])
+    event = lambda path, gone: spark.createDataFrame([(str(path), gone, datetime.datetime(2024, 1, 1), 1)], EVENTS)
+    watcher.apply(event(tmp_path / "b.cpp", False))
+    got = sorted(map(tuple, watcher.graph.edges.select("src", "dst", "line").collect())), sorted(map(tuple, watcher.graph.includes.select("src_file", "dst_file").collect()))
+    assert got == want
+    (tmp_path / "a.cpp").write_text("int other() {\n  return user();\n}\n")
+    watcher.apply(event(tmp_path / "a.cpp", False))
+    assert [(r.src, r.dst) for r in watcher.graph.edges.collect()] == [(f"{tmp_path}/a.cpp:other", f"{tmp_path}/b.cpp:user")]
+    watcher.apply(event(tmp_path, True))
+    assert watcher.graph.files.count() == watcher.graph.symbols.count() == watcher.graph.edges.count() == 0
+
+
+def test_overrides_crates_and_modules(spark, tmp_path):
+    write_tree(tmp_path, **{
+        "base.h": "class Base {\n  virtual void run() { go(); }\n  void own() { go(); }\n};\nclass Middle : public Base {\n};\n", "derived.cpp": "class Derived : public Middle {\n};\nvoid Derived::run() {\n}\nvoid Derived::extra() {\n}\n",
+        "crate/Cargo.toml": '[package]\nname = "my-crate"\n', "crate/src/lib.rs": 'mod util;\n#[path = "odd/place.rs"]\nmod named;\npub fn top() {}\n', "crate/src/util/mod.rs": "pub mod deep;\npub fn help() {}\nmod inner {\n  fn hidden() {}\n}\n",
+        "crate/src/util/deep.rs": "pub fn far() {}\n", "crate/src/odd/place.rs": "pub fn odd() {}\n", "go/go.mod": "// module no\nmodule example.com/m\n", "go/main.go": "package main\n\nfunc main() {}\n", "go/pkg/p.go": "package pkg\n\nfunc F() {}\n", "bad.py": "def (",
+    })
+    paths = discover(str(tmp_path))
+    assert sorted(manifests(paths)) == [(f"{tmp_path}/crate/src", "rust", "my_crate"), (f"{tmp_path}/go", "go", "example.com/m")]
+    graph, failed = index(read_tree(spark, paths), owners=manifests(paths))
+    assert [(r.src, r.dst) for r in graph.of_kind("overrides").collect()] == [(f"{tmp_path}/derived.cpp:Derived::run", f"{tmp_path}/base.h:Base::run")]
+    spaces = {r.name: r.namespace for r in graph.symbols.where("language IN ('rust', 'go')").collect()}
+    assert spaces == {"top": "my_crate", "help": "my_crate::util", "hidden": "my_crate::util::inner", "far": "my_crate::util::deep", "odd": "my_crate::odd::place", "main": "example.com/m", "F": "example.com/m/pkg"}
+    src = f"{tmp_path}/crate/src"
+    assert {(r.src_file, r.dst_file) for r in graph.includes.where("src_file LIKE '%.rs'").collect()} == {(f"{src}/lib.rs", f"{src}/util/mod.rs"), (f"{src}/lib.rs", f"{src}/odd/place.rs"), (f"{src}/util/mod.rs", f"{src}/util/deep.rs")}
+    assert [r.path for r in failed.collect()] == [f"{tmp_path}/bad.py"]
+
+
+def test_saved_filters_reach_the_files(spark, tmp_path):
+    from codeloom.operators import lookup
+    from codeloom.plans.store import GraphStore
+
+    write_tree(tmp_path, **{"src/a.py": "def f():\n    pass\n\ndef f():\n    pass\n", "src/b.py": "class C:\n    pass\n"})
+    index(read_tree(spark, discover(str(tmp_path / "src"))))[0].save(str(tmp_path / "store"))
+    graph = GraphStore.load(spark, str(tmp_path / "store"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = lookup.search(graph, "f", kind="function", subtree=f"{tmp_path}/src")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1 and "Exchange" not in plan and "PushedFilters: [IsNotNull" in plan and "EqualTo(kind,function)" in plan and "StringStartsWith(file" in plan
+    graph.save(str(tmp_path / "store"))
+    assert GraphStore.load(spark, str(tmp_path / "store")).symbols.count() == 2
+
+
+def test_polling_makes_events(spark, tmp_path):
+    import time
+
+    write_tree(tmp_path / "tree", **{"a.py": "def f():\n    pass\n"})
+    graph, _ = index(read_tree(spark, discover(str(tmp_path / "tree"))))
+    watcher = Watcher(graph, lambda frame, held: index(read_tree(spark, [r.path for r in frame.collect()]), base=held)[0])
+    watcher.poll(spark, str(tmp_path / "tree"), str(tmp_path / "events"), every=0.1)
+    (tmp_path / "tree" / "b.py").write_text("def g():\n    f()\n")
+    (tmp_path / "tree" / "notes.txt").write_text("no source")
+    deadline = time.time() + 60
+    while time.time() < deadline and not any(p.suffix == ".parquet" for p in (tmp_path / "events").glob("*")):
+        time.sleep(0.2)
+    query = watcher.start(spark, str(tmp_path / "events"), str(tmp_path / "check"))
+    query.processAllAvailable()
+    watcher.stop()
+    assert [(r.src, r.dst) for r in watcher.graph.of_kind("calls").collect()] == [(f"{tmp_path}/tree/b.py:g", f"{tmp_path}/tree/a.py:f")]
