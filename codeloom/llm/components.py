@@ -28,7 +28,7 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def contract(batches: Iterator[pa.RecordBatch], edges_a_step: int = 500_000) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch], edges_a_step: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The edges (u, v) of a task as stars, one set of stars for each ``edges_a_step`` edges."""
     held: list[pa.RecordBatch] = []
 
@@ -45,19 +45,20 @@ def contract(batches: Iterator[pa.RecordBatch], edges_a_step: int = 500_000) ->
         yield made()
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def components(edges: DataFrame, tag: str = "components", edges_a_task: int = 250_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) but the roots; a root is its component's least node.
 
-    Tasks first turn the edges that they hold into stars. Each round hooks a node's neighbours on the least of them, first the larger
+    Tasks of about ``edges_a_task`` edges first turn what they hold into stars. Each round hooks a node's neighbours on the least of them, first the larger
     ones, then the smaller ones, and writes the edges; rounds end when every node has one edge and no root is a node. Nulls and loops
     are ignored. Least neighbours are found by aggregation and joined by ``join_split``, so that no hub's edges meet in a task.
     """
     ship(edges.sparkSession)
 
     def contracted(rows: DataFrame) -> DataFrame:
-        return materialize(rows.mapInArrow(contract, "u long, v long"), tag)
+        held = materialize(rows, tag)
+        return materialize(held.coalesce(max(1, -(-held.count() // edges_a_task))).mapInArrow(contract, "u long, v long"), tag)
 
-    kept = contracted(contracted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
+    kept = contracted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while True:
         ends = kept.select("u", "v", F.lit(False).alias("root")).union(kept.select("v", F.lit(None).cast("long"), F.lit(True)))
         ends = ends.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.max("root").alias("root"), F.count("v").alias("n"))
@@ -67,7 +68,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         both = kept.union(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_split(both.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = contracted(large)
+        large = materialize(large, tag)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_split(large, low, ["u"], "n", 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = contracted(contracted(small.union(low.select("u", F.col("m").alias("v")))))
+        kept = contracted(small.union(low.select("u", F.col("m").alias("v"))))

@@ -14,7 +14,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +188,10 @@ class CellIndex:
         self.starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
         self.ends = np.r_[self.starts[1:], len(flat)]
         self.keys = flat[self.starts]
+        self.places: np.ndarray | None = None  # of the postings: list, then set
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """The sets that link with a sorted set, itself among them if it is there.
+    def search(self, query: np.ndarray, before: int | None = None) -> np.ndarray:
+        """The sets that link with a sorted set, itself among them if it is there; only the first ``before`` sets, if given.
 
         DivideSkip: of the query's lists, the L longest are put aside; a set with T shingles in common is in T - L of the short lists at
         least. The short lists are merged by a heap, and what is in enough of them is probed for in the long ones. L follows
@@ -203,6 +204,15 @@ class CellIndex:
         if len(own) < least:
             return np.empty(0, np.int64)
         starts, ends = self.starts[own], self.ends[own]
+        if before is not None:
+            n = len(self.sizes)
+            if self.places is None:
+                self.places = np.repeat(np.arange(len(self.keys)), self.ends - self.starts) * n + self.postings
+            ends = np.searchsorted(self.places, own * n + before)
+            some = ends > starts
+            starts, ends = starts[some], ends[some]
+            if len(starts) < least:
+                return np.empty(0, np.int64)
         order = np.argsort(ends - starts, kind="stable")
         longest = int((ends - starts)[order[-1]])
         aside = min(least - 1, int(least / (self.weight * math.log2(longest + 1) + 1)))
@@ -298,19 +308,37 @@ def link_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tup
             yield a, b, held[r][0][0]
 
 
-def link_slices(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[int, int]]:
-    """(u, v): links of a slice's queries (``asks`` 1) with its indexed sets (``asks`` 0, which come first), one to each other root."""
-    for _, rows in by_group(batches, ["cell", "slice"], ["asks", "a", "root"]):
+#: What a row of a slice is: an indexed set, one that also asks, or one that only asks and is indexed in another slice.
+INDEXED, BOTH, ASKS = 0, 1, 2
+
+
+def link_slices(batches: Iterator[pa.RecordBatch], percent: int, ranked: bool) -> Iterator[tuple[int, int]]:
+    """(u, v): links of a slice's queries with its indexed sets, one to each other root. Rows that only ask come last.
+
+    ``ranked``: roots are ordered by the number ``k`` of their sets, the largest first, and a set is searched for only in the sets of roots
+    before its own, so that the sets of a large group are not found again for each of its sets.
+    """
+
+    def rank(held: Held) -> tuple[int, int]:
+        return -held[0][3], -held[0][2]
+
+    for _, rows in by_group(batches, ["cell", "slice"], ["role", "a", "root", "k"]):
         held: list[Held] = []
-        index: CellIndex | None = None
+        asking: list[Held] = []
         for row, shingles in rows:
-            if not row[0]:
-                held.append((row, shingles))
-                continue
-            if not held:
-                continue
+            if row[0] == ASKS:
+                asking.append((row, shingles))
+                break
+            held.append((row, shingles))
+        if not held:
+            continue
+        held.sort(key=rank)
+        ranks = [rank(h) for h in held]
+        index: CellIndex | None = None
+        for row, shingles in chain((h for h in held if h[0][0] == BOTH), asking, rows):
             index = index or CellIndex([s for _, s in held], percent)
-            linked = {held[i][0][2]: held[i][0][1] for i in index.search(shingles).tolist()}
+            before = bisect_left(ranks, rank((row, shingles))) if ranked else None
+            linked = {held[i][0][2]: held[i][0][1] for i in index.search(shingles, before).tolist()}
             for root, a in linked.items():
                 if root != row[2]:
                     yield row[1], a
@@ -414,7 +442,7 @@ def jaccard_components(
     # Lists of frequent shingles came in 64 parts; their heads meet here.
     heads = hooks.where(F.col("kind") == HEAD).select(F.col("u").alias("s"), F.col("v").alias("m")).distinct()
     far = heads.join(heads.groupBy("s").agg(F.min("m").alias("v")), "s").where("m <> v").select(F.col("m").alias("u"), "v")
-    near = near.union(hooked).union(far).distinct()
+    near = near.union(hooked).union(far)
     stars = components(near, "join-cells")
     # Hubs are nodes too; they drop out here, as no text has their number.
     cells = stars.select(F.col("node").alias("a"), F.col("root").alias("cell")).union(stars.select(F.col("root").alias("a"), F.col("root").alias("cell")).distinct())
@@ -460,22 +488,24 @@ def _wide_cells(sets: DataFrame, percent: int, total: int) -> DataFrame:
     outside the cell's largest one, so only those sets are searched for, in fewer and larger slices.
     """
 
-    def searched(held: DataFrame, slices: Column, asks: Column) -> DataFrame:
-        """Links of those sets of ``held`` (cell, a, root, shingles) that ask with all of their cell."""
-        own = F.struct(F.pmod(F.xxhash64("a"), slices).cast("int").alias("slice"), F.lit(0).alias("asks"))
-        every = F.transform(F.sequence(F.lit(0), slices - 1), lambda s: F.struct(s.cast("int").alias("slice"), F.lit(1).alias("asks")))
-        dealt = held.select("cell", "a", "root", "shingles", F.explode(F.when(asks, F.concat(F.array(own), every)).otherwise(F.array(own))).alias("x"))
-        dealt = dealt.select("cell", "x.slice", "x.asks", "a", "root", "shingles").repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks", "a")
-        return dealt.mapInArrow(lambda batches: in_batches(link_slices(batches, percent), ["u", "v"]), "u long, v long")
+    def searched(held: DataFrame, slices: Column, asks: Column, ranked: bool) -> DataFrame:
+        """Links of those sets of ``held`` (cell, a, root, k, shingles) that ask with all of their cell, or with the roots ranked before theirs."""
+        at = F.pmod(F.xxhash64("a"), slices).cast("int")
+        own = F.struct(at.alias("slice"), F.when(asks, BOTH).otherwise(INDEXED).alias("role"))
+        others = F.transform(F.filter(F.sequence(F.lit(0), slices - 1), lambda s: s != at), lambda s: F.struct(s.cast("int").alias("slice"), F.lit(ASKS).alias("role")))
+        dealt = held.select("cell", "a", "root", "k", "shingles", F.explode(F.when(asks, F.concat(F.array(own), others)).otherwise(F.array(own))).alias("x"))
+        dealt = dealt.select("cell", "x.slice", "x.role", "a", "root", "k", "shingles").repartition("cell", "slice").sortWithinPartitions("cell", "slice", "role", "a")
+        return dealt.mapInArrow(lambda batches: in_batches(link_slices(batches, percent, ranked), ["u", "v"]), "u long, v long")
 
-    first = materialize(searched(sets.withColumn("root", F.col("a")), F.col("slices"), F.col("pivot")), "join-pivots")
+    first = materialize(searched(sets.withColumns({"root": F.col("a"), "k": F.lit(1).cast("long")}), F.col("slices"), F.col("pivot"), ranked=False), "join-pivots")
     stars = components(first, "join-stars").withColumnRenamed("node", "a")
     once = materialize(sets.groupBy("cell", "a", "b").agg(F.min("id").alias("id")), "join-wide")
     known = materialize(once.join(stars, "a", "left").select("cell", "a", F.coalesce("root", "a").alias("root")), "join-known")
     of_root = known.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k"))
     top = of_root.groupBy("cell").agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("sets")).select("cell", F.col("x.root").alias("top"), (F.col("sets") - F.col("x.k")).alias("others"), "sets")
-    known = materialize(join_split(known, top, ["cell"], "sets", total).where("others > 0").select("cell", "a", "root", (F.col("root") != F.col("top")).alias("asks")), "join-rest")
-    links = first.union(searched(sets.join(known, ["cell", "a"]), F.col("parts"), F.col("asks")))
+    known = join_split(known, of_root.withColumn("n", F.col("k")), ["cell", "root"], "n", total)
+    known = materialize(join_split(known, top, ["cell"], "sets", total).where("others > 0").select("cell", "a", "root", "k", (F.col("root") != F.col("top")).alias("asks")), "join-rest")
+    links = first.union(searched(sets.join(known, ["cell", "a"]), F.col("parts"), F.col("asks"), ranked=True))
     nodes = components(links, "join-tops").withColumnRenamed("node", "a")
     placed = once.join(nodes, "a", "left").select("a", "b", "id", F.coalesce("root", "a").alias("top"))
     least = placed.groupBy("top").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("sets"))
