@@ -28,7 +28,7 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def contract(batches: Iterator[pa.RecordBatch], edges_a_step: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch], edges_a_step: int = 250_000) -> Iterator[pa.RecordBatch]:
     """The edges (u, v) of a task as stars, one set of stars for each ``edges_a_step`` edges."""
     held: list[pa.RecordBatch] = []
 

@@ -129,7 +129,7 @@ def hook_lists(batches: Iterator[pa.RecordBatch], short_list: int) -> Iterator[p
     for batch in batches:
         if batch.num_rows:
             held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s", "part")))
-        if sum(len(h[0]) for h in held) < 500_000:
+        if sum(len(h[0]) for h in held) < 250_000:
             continue
         a, s, part = (np.concatenate(x) for x in zip(*held))
         last = int(np.flatnonzero(changes(s, part))[-1])
