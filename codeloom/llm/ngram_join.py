@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_split, materialize, ship, steps, text_or_empty
+from codeloom.llm.common import join_split, materialize, may_be_in, ship, steps, text_or_empty
 from codeloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -466,7 +466,7 @@ def jaccard_components(
             part = part.take(pa.array(own, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "slices", "parts", "pivot", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "slices", "parts", "pivot", "id", "a", "b", "shingles"])
 
-    found = rows.join(wanted, "id").mapInArrow(wanted_sets, "cell long, slices int, parts int, pivot boolean, id long, a long, b long, shingles array<long>")
+    found = may_be_in(rows, wanted, "id").join(wanted, "id").mapInArrow(wanted_sets, "cell long, slices int, parts int, pivot boolean, id long, a long, b long, shingles array<long>")
     has_wide = wanted.where("slices > 1").limit(1).count() > 0
     if has_wide:
         found = materialize(found, "join-sets")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
+from codeloom.llm import bpe, common, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, shard string, id string"
 
@@ -269,6 +269,17 @@ def test_components_with_hubs(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+@pytest.mark.parametrize("words", [4096, 2])
+def test_filter_before_a_join_keeps_what_is_wanted(spark, words):
+    rows = spark.range(-500, 4500).select(F.col("id"), F.lit("x").alias("text")).union(spark.sql("SELECT CAST(NULL AS LONG), 'y'"))
+    wanted = spark.range(-500, 4500, 7).select("id").union(spark.sql("SELECT 2L UNION ALL SELECT CAST(NULL AS LONG)"))
+    found = common.may_be_in(rows, wanted, "id", words)
+    assert found.columns == ["id", "text"]
+    kept = [r["id"] for r in found.collect()]
+    assert set(range(-500, 4500, 7)) | {2} <= set(kept) and len(kept) == len(set(kept)) and None not in kept
+    assert words == 2 or len(kept) < 800  # 715 are wanted
+
+
 def test_search_finds_every_link():
     rnd = random.Random(9)
     sets = []
