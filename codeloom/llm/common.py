@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.plans.ship import ship
 from codeloom.plans.tables import written as materialize
 
-__all__ = ["WORD_GAP", "join_split", "materialize", "may_be_in", "partitions", "ship", "steps", "table", "text_or_empty"]
+__all__ = ["WORD_GAP", "join_split", "materialize", "may_be_in", "partitions", "ship", "steps", "table", "text_or_empty", "without"]
 
 #: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]"
@@ -34,17 +34,29 @@ def join_split(rows: DataFrame, small: DataFrame, keys: list[str], weight: str,
     return few.unionByName(many)
 
 
-def may_be_in(rows: DataFrame, wanted: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
-    """Those ``rows`` whose ``key`` is in ``wanted``, and few others, so that a join with ``wanted`` shuffles no more than that.
+def _flagged(rows: DataFrame, wanted: DataFrame, key: str, words: int) -> DataFrame:
+    """``rows`` with ``_may``: whether ``key`` may be in ``wanted``. True for all that are, and for another key with probability 1 - exp(-keys / bits).
 
-    The keys are hashed to ``words`` words of 64 bits, and the words with a bit, ``words`` rows of two numbers at most, are broadcast. A key that is
-    not in ``wanted`` passes with probability 1 - exp(-keys / bits): far more keys than bits make the filter useless, never wrong. Null keys drop out.
+    The keys are hashed to ``words`` words of 64 bits, and the words with a bit, ``words`` rows of two numbers at most, are broadcast. Far more
+    keys than bits make the flag useless, never wrong. Null keys are not flagged.
     """
     word = F.pmod(F.xxhash64(key, F.lit(31)), F.lit(words)).cast("int").alias("_word")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(37)), F.lit(64)).cast("int"))
     bits = wanted.where(F.col(key).isNotNull()).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-    found = rows.where(F.col(key).isNotNull()).select("*", word).join(F.broadcast(bits), "_word")  # at most ``words`` rows
-    return found.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    found = rows.select("*", word).join(F.broadcast(bits), "_word", "left")  # at most ``words`` rows
+    may = F.col(key).isNotNull() & (F.coalesce("_bits", F.lit(0)).bitwiseAND(bit) != 0)
+    return found.withColumn("_may", may).drop("_word", "_bits")
+
+
+def may_be_in(rows: DataFrame, wanted: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """Those ``rows`` whose ``key`` is in ``wanted``, and few others, so that a join with ``wanted`` shuffles no more than that. Null keys drop out."""
+    return _flagged(rows, wanted, key, words).where("_may").drop("_may")
+
+
+def without(rows: DataFrame, wanted: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """Those ``rows`` whose ``key`` is not in ``wanted``, null keys among them; only rows that may be in it are shuffled."""
+    flagged = _flagged(rows, wanted, key, words)
+    return flagged.where(~F.col("_may")).unionByName(flagged.where("_may").join(wanted, key, "left_anti").select(*flagged.columns)).drop("_may")
 
 
 def partitions(spark: SparkSession) -> int:

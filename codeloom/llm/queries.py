@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
-from codeloom.llm.common import materialize, table
+from codeloom.llm.common import materialize, may_be_in, table, without
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
 MIX_UNITS = {"src0": 20, **{f"src{i}": 9 for i in range(1, 20)}, mixing.OTHER: 9}
@@ -98,8 +98,8 @@ def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = exact_dedup.exact_dedup(docs).where("group_size > 1").select(F.col("text_sha256").alias("_digest"), F.col("keep_id").alias("_keep"))
     classes = materialize(judged.distinct(), "dedup-classes")
     rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    lone = rows.join(classes, "_digest", "left_anti").select(*columns)
-    tied = rows.join(classes, "_digest").where(F.col("doc_id").eqNullSafe(F.col("_keep")))
+    lone = without(rows, classes, "_digest").select(*columns)
+    tied = may_be_in(rows, classes, "_digest").join(classes, "_digest").where(F.col("doc_id").eqNullSafe(F.col("_keep")))
     return lone.unionByName(tied.groupBy("_digest").agg(F.min(F.struct(*columns)).alias("row")).select("row.*"))
 
 
@@ -111,8 +111,8 @@ def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     several = linked.join(linked.where("_row <> component_id").select("component_id").distinct(), "component_id", "left_semi")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     first = several.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
-    dropped = several.join(first, "_row", "left_anti").select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*columns)
+    dropped = materialize(several.join(first, "_row", "left_anti").select("_row"), "near-dropped")
+    return without(rows, dropped, "_row").select(*columns)
 
 
 def _row_digest(docs: DataFrame) -> Column:

@@ -278,6 +278,9 @@ def test_filter_before_a_join_keeps_what_is_wanted(spark, words):
     kept = [r["id"] for r in found.collect()]
     assert set(range(-500, 4500, 7)) | {2} <= set(kept) and len(kept) == len(set(kept)) and None not in kept
     assert words == 2 or len(kept) < 800  # 715 are wanted
+    rest = common.without(rows, wanted, "id", words)
+    assert rest.columns == ["id", "text"]
+    assert sorted(r["id"] or -9999 for r in rest.collect()) == sorted([-9999 if i == 0 else i for i in range(-500, 4500) if (i + 500) % 7 and i != 2] + [-9999])
 
 
 def test_search_finds_every_link():
