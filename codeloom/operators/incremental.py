@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import under
@@ -68,5 +68,24 @@ def last_events(events: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, gap: str = "250 milliseconds") -> DataFrame:
-    """(path, start, events): bursts of a path's events that come within ``gap`` of one another."""
-    return events.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select("path", F.col("w.start").alias("start"), "events")
+    """(path, start, events): bursts of a path's events, each less than ``gap`` after the one before; events without a time are bursts of their own.
+
+    A path's events are ordered day by day, so that a busy path does not meet in one task; a day goes on with the burst that was open before it.
+    """
+    day = F.to_date("ts") if dict(events.dtypes)["ts"] == "timestamp_ntz" else F.floor(F.unix_micros("ts") / 86_400_000_000)
+    timed = events.where("ts IS NOT NULL").select("path", day.alias("day"), "ts")
+    before = Window.partitionBy("path").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    ends = timed.groupBy("path", "day").agg(F.max("ts").alias("last")).withColumn("last", F.max("last").over(before))
+    same = [F.col("l.path").eqNullSafe(F.col("r.path")), F.col("l.day") == F.col("r.day")]
+    within = Window.partitionBy("path", "day")
+    held = timed.alias("l").join(ends.alias("r"), same).select("l.path", "l.day", "ts", "last")
+    held = held.withColumn("prior", F.coalesce(F.lag("ts").over(within.orderBy("ts")), "last"))
+    opens = F.col("prior").isNull() | (F.col("ts") >= F.col("prior") + F.expr(f"INTERVAL {gap}"))
+    held = held.withColumn("opened", F.when(opens, F.col("ts")))
+    # The open burst's start; null: it began on an earlier day. Of events at one time the one that opens a burst comes first.
+    held = held.withColumn("start", F.max("opened").over(within.orderBy("ts", F.col("opened").isNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = held.groupBy("path", "day", "start").agg(F.count(F.lit(1)).alias("events"))
+    earlier = parts.groupBy("path", "day").agg(F.max("start").alias("carried")).withColumn("carried", F.max("carried").over(before))
+    whole = parts.alias("l").join(earlier.alias("r"), same).select("l.path", F.coalesce("start", "carried").alias("start"), "events")
+    untimed = events.where("ts IS NULL").select("path", F.col("ts").alias("start"), F.lit(1).cast("long").alias("events"))
+    return whole.groupBy("path", "start").agg(F.sum("events").alias("events")).union(untimed)

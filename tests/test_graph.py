@@ -152,3 +152,21 @@ def test_bounded_walks_against_whole_ones(spark):
         for depth, most in ((1, 6), (2, 25)):
             want = structure.hierarchy([(a, b, 0) for a, b in whole], start, depth, most)
             assert structure.hierarchy(structure.class_neighbourhood(store, start, depth, most), start, depth, most) == want
+
+
+def test_bursts_end_at_the_gap(spark):
+    """A gap of exactly the limit ends a burst, bursts go on past midnight, and events without a time count; null paths too."""
+    import datetime
+
+    from codeloom.operators import incremental
+
+    zero = datetime.datetime(2024, 1, 1, 23, 59, 59, 800_000)
+    at = {"a": [0, 249_999, 499_999, 500_000], "b": [0, 0, 150_000, 300_000, 400_000, 86_400_000_000], "c": [None, None, 5], None: [1, 2]}
+    rows = [(p, None if u is None else zero + datetime.timedelta(microseconds=u)) for p, held in at.items() for u in held]
+    want = {"a": [2, 2], "b": [1, 5], "c": [1, 1, 1], None: [2]}
+    for kind in ("timestamp", "timestamp_ntz"):
+        frame = spark.createDataFrame(rows, f"path string, ts {kind}")
+        got = {}
+        for r in incremental.debounced(frame).collect():
+            got.setdefault(r.path, []).append(r.events)
+        assert {p: sorted(n) for p, n in got.items()} == want
