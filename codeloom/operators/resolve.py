@@ -27,12 +27,15 @@ def resolve_calls(raw: DataFrame, index: DataFrame) -> DataFrame:
     heuristic; none: the token stays.
     """
     edges = raw.withColumn("_parent", id_parent(F.col("src")))
-    candidates = index.select("language", F.col("key").alias("token"), F.col("id").alias("_id"), F.col("file").alias("_file"), F.col("parent").alias("_of"), F.struct("file_ord", "sym_ord").alias("_ord"))
-    score = F.when(F.col("_file") == F.col("file"), 4).otherwise(0) + F.when((F.col("_parent") != "") & (F.col("_of") == F.col("_parent")), 3).otherwise(0)
-    # Best candidate by aggregation: no list of candidates is sorted or held.
-    picked = edges.join(candidates, ["language", "token"]).groupBy("src", "edge_ord", "file").agg(F.min(F.struct((-score).alias("s"), F.col("_ord").alias("o"), F.col("_id").alias("id"))).alias("x"), F.count(F.lit(1)).alias("n"))
-    joined = raw.join(picked, ["src", "edge_ord", "file"], "left")
-    return joined.select("src", F.coalesce("x.id", "token").alias("dst"), "token", "file", "line", "edge_ord", F.when(F.col("n") > 1, F.lit("heuristic")).otherwise(F.lit("resolved")).alias("confidence"))
+    named = index.select("language", F.col("key").alias("token"), F.col("file"), F.col("parent").alias("_parent"), F.struct("file_ord", "sym_ord", "id").alias("o"))
+    # The first candidate of each score, by one equi-join a score: calls never meet all candidates of their token.
+    held = edges
+    for score, keys in ((7, ["file", "_parent"]), (4, ["file"]), (3, ["_parent"]), (0, [])):
+        of_parent = named.where("_parent <> ''") if "_parent" in keys else named
+        first = of_parent.groupBy("language", "token", *keys).agg(F.min("o").alias(f"_{score}"), *([F.count(F.lit(1)).alias("n")] if not keys else []))
+        held = held.join(first, ["language", "token", *keys], "left")
+    best = F.coalesce("_7", "_4", "_3", "_0")
+    return held.select("src", F.coalesce(best["id"], "token").alias("dst"), "token", "file", "line", "edge_ord", F.when(F.col("n") > 1, F.lit("heuristic")).otherwise(F.lit("resolved")).alias("confidence"))
 
 
 def resolve_includes(raw: DataFrame, files: DataFrame) -> DataFrame:

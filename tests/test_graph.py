@@ -170,3 +170,34 @@ def test_bursts_end_at_the_gap(spark):
         for r in incremental.debounced(frame).collect():
             got.setdefault(r.path, []).append(r.events)
         assert {p: sorted(n) for p, n in got.items()} == want
+
+
+def test_resolution_joins_no_candidate_lists(spark):
+    """A thousand calls of a name with a thousand symbols: scores as before, and no plan step gives their product."""
+    size = 1000
+    index = spark.createDataFrame([("cpp", "f", f"/f{i % 10}.cpp:P{i % 7}::f{i}", f"/f{i % 10}.cpp", f"P{i % 7}", 0, i) for i in range(20, size)], "language string, key string, id string, file string, parent string, file_ord long, sym_ord long")
+    calls = [(f"/f{i % 13}.cpp:" + (f"P{i % 9}::m" if i % 2 else "m"), "f", "cpp", f"/f{i % 13}.cpp", 1, i) for i in range(size)]
+    raw = spark.createDataFrame(calls, "src string, token string, language string, file string, line long, edge_ord long")
+    solved = resolve.resolve_calls(raw, index)
+    got = {r.edge_ord: (r.dst, r.confidence) for r in solved.collect()}
+    held = [(i, f"/f{i % 10}.cpp", f"P{i % 7}") for i in range(20, size)]
+    for src, _, _, file, _, order in calls:
+        parent = src.split(":", 1)[1].split("::")[0] if "::" in src else ""
+        _, i, f, p = min((-(4 * (f == file) + 3 * (parent != "" and p == parent)), i, f, p) for i, f, p in held)
+        assert got[order] == (f"{f}:{p}::f{i}", "heuristic")
+    widest = []
+
+    def walk(node):
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            widest.append(metric.get().value())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            walk(node.plan())
+
+    plan = solved._jdf.queryExecution().executedPlan()
+    solved._jdf.queryExecution().toRdd().count()
+    walk(plan.executedPlan() if hasattr(plan, "executedPlan") else plan)
+    assert widest and max(widest) <= 2 * size
