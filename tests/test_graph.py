@@ -201,3 +201,35 @@ def test_resolution_joins_no_candidate_lists(spark):
     solved._jdf.queryExecution().toRdd().count()
     walk(plan.executedPlan() if hasattr(plan, "executedPlan") else plan)
     assert widest and max(widest) <= 2 * size
+
+
+def test_reach_of_many_starts(spark, monkeypatch):
+    """Depths and places against a plain search, for few starts, for groups and for groups put together; pairs of a start and a node pass no shuffle."""
+    rnd = random.Random(5)
+    rows = [(f"n{rnd.randrange(30):02}", f"n{rnd.randrange(30):02}", f"/f{i % 3}", rnd.randrange(9), i % 3, rnd.randrange(12)) for i in range(90)] + [("n00", "gone", "/f", 1, 0, 0), ("n01", None, "/f", 1, 0, 0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, file string, line long, file_ord long, edge_ord long").cache()
+    names = [f"n{i:02}" for i in range(30)]
+    nodes, starts = spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame([(n,) for n in [*names[:20], names[0], None]], "start string")
+    want = {}
+    for start in names[:20]:
+        found, seen = {start: ()}, {start}
+        for depth in (1, 2, 3):
+            best = {}
+            for a, b, file, line, f, e in rows:
+                if a in found and b in names and b not in seen:
+                    x = (found[a] + ((f, e),), file, line)
+                    best[b] = min(best.get(b, x), x)
+            want.update({(start, b): (depth, x[1], x[2]) for b, x in best.items()})
+            found = {b: x[0] for b, x in best.items()}
+            seen |= found.keys()
+    for few, size, copies in ((1000, 1000, 6), (2, 3, 100), (2, 3, 1)):
+        monkeypatch.setattr(traverse, "FEW_STARTS", few)
+        monkeypatch.setattr(traverse, "STARTS_A_GROUP", size)
+        monkeypatch.setattr(traverse, "COPIES_OF_EDGES", copies)
+        got = traverse.reach(edges, starts, 3, nodes).collect()
+        assert len(got) == len(want) and {(r.start, r.node): (r.depth, r.file, r.line) for r in got} == want
+        plain = traverse.reach(edges, starts, 3, nodes, places=False)
+        got = plain.collect()
+        assert len(got) == len(want) and {(r.start, r.node): r.depth for r in got} == {k: v[0] for k, v in want.items()}
+        above = plain._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
+        assert "Exchange" not in above and "Join" not in above and "Aggregate" not in above
