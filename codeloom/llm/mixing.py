@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The stream of all sources without a weight of their own, null included.
 OTHER = "*"
+#: Rows of a file that are ranked together, where rows are mixed already.
+BUCKET_ROWS = 4096
 
 
 def pfair_period(units: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
@@ -36,7 +38,7 @@ def pfair_period(units: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return made
 
 
-def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None, ties: tuple[str, ...] = (), order: tuple[str, str] | None = None) -> DataFrame:
     """Every row with its place in the mix: stream, block, slot, seat, release, deadline.
 
     ``units`` gives the weight of sources in whole units; ``OTHER`` is the weight of all the rest and
@@ -45,6 +47,7 @@ def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str
     at every slot; later the slots of exhausted streams stay empty and the others keep their ratio.
     All rows are kept. Null ids come first in their stream; rows with equal ids are ordered by source and by the columns ``ties``, or ``keep`` if there are none.
     ``keep`` names further columns to carry along; rows that are alike in all of this are exchangeable.
+    ``order`` names two columns to order by in place of the md5, the second of whole numbers: a file and a row in it, for rows that are mixed already.
     """
     spark = docs.sparkSession
     units = {**units, OTHER: max(1, units.get(OTHER, 0))}
@@ -55,8 +58,9 @@ def mix(docs: DataFrame, units: dict[str, int], block_rows: int = 8, id_col: str
     rows = docs.select(
         F.col(id_col).alias("_id"), *[c.alias(f"_c{i}") for i, c in enumerate(carried)], F.col(source_col).alias("_source"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)],
         F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHER)).alias("_stream"),
-        F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("")).alias("_order"),
-    ).withColumn("_bucket", F.substring("_order", 1, 3))
+        (F.struct(*order) if order else F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))).alias("_order"),
+    )
+    rows = rows.withColumn("_bucket", F.struct(f"_order.{order[0]}", F.floor(F.col(f"_order.{order[1]}") / BUCKET_ROWS)) if order else F.substring("_order", 1, 3))
     # Ranks in two steps, so that no stream meets in one task: buckets of the order, then ranks in each bucket.
     counts = rows.groupBy("_stream", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_stream").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,20 +122,32 @@ def _row_digest(docs: DataFrame) -> Column:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, dealt to files and sorted in them by their place in the mix; the next stage finds the same places again."""
+    """All documents, dealt to files and sorted in them by their place in the mix. The files' order is the mix: the next stage numbers its rows by it."""
     columns = docs.columns
     placed = mixing.mix(docs.withColumn("_tie", _row_digest(docs)), MIX_UNITS, MIX_BLOCK_ROWS, keep=[c for c in columns if c != "doc_id"], ties=("_tie",))
     return placed.repartitionByRange("slot", "seat").sortWithinPartitions("slot", "seat").select(*columns)
 
 
+def in_files(docs: DataFrame) -> list[Column]:
+    """(file, row): where a frame's rows stand in its Parquet files, the files by the number of the partition that they were; rows of no file by their order in the frame."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return [F.struct(F.lit(0).cast("long").alias("part"), F.lit("").alias("name")).alias("file"), F.monotonically_increasing_id().alias("row")]
+    name = F.col("_metadata.file_name")
+    part = F.coalesce(F.expr(r"try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS BIGINT)"), F.lit(0).cast("long"))
+    return [F.struct(part.alias("part"), name.alias("name")).alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token digests with its slot and seat in the mix, in that order.
 
-    Files are read again in no set order, so the places are computed again from the rows, by the mixing operator.
+    Files are read again in no set order, but each row knows its file and its place there: a stream's rows take their slots and seats in the order
+    that the mixing stage gave them.
     """
-    coded = materialize(token_digests(docs, F.col("source"), _row_digest(docs).alias("_tie")), "pipeline-tokens")
+    coded = materialize(token_digests(docs, F.col("source"), *in_files(docs)), "pipeline-tokens")
     digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    placed = mixing.mix(coded, MIX_UNITS, MIX_BLOCK_ROWS, keep=digests, ties=("_tie",))
+    placed = mixing.mix(coded, MIX_UNITS, MIX_BLOCK_ROWS, keep=digests, order=("file", "row"))
     return placed.select("doc_id", *digests, "slot", "seat").orderBy("slot", "seat")
 
 

@@ -121,3 +121,18 @@ def test_repeated_and_null_ids(spark):
     rows = [(7, near("x")), (5, near("y")), (7, "B"), (8, near("z")), (5, near("v")), (None, near("u")), (None, "lone")]
     got = [(r.doc_id, r.text) for r in queries.stage_near(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), SF).collect()]
     assert sorted(got, key=str) == sorted([(5, near("y")), (7, "B"), (None, "lone")], key=str)
+
+
+def test_tokens_follow_the_mix(spark, stages, tmp_path):
+    """Places come from the order that the mixing stage wrote: without that stage, and with its rows reversed, they are others."""
+    from codeloom.llm import queries
+
+    def places(frame, name):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        return {r.doc_id: (r.slot, r.seat) for r in queries.stage_tokens(spark, spark.read.parquet(f"{tmp_path}/{name}"), SF).collect()}
+
+    mixed = {r.doc_id: (r.slot, r.seat) for r in stages[5].collect()}
+    assert places(stages[3], "unmixed") != mixed
+    turned = spark.createDataFrame(stages[4].collect()[::-1], stages[4].schema)
+    backwards = places(turned.coalesce(1), "turned")
+    assert backwards != mixed and sorted(backwards.values()) == sorted(mixed.values())
