@@ -4,7 +4,7 @@ Texts that can link share many of the shingles whose hashes lie below a fixed cu
 says how many. Pairs with fewer are ruled out by counting over short lists; long lists hook those of their
 texts together that have enough shingles in long lists. The components that this leaves are cells that
 no link leaves. In each cell every document that may still join two components is a query: its short inverted lists are
-merged by a heap, its long ones are probed by binary search, and documents with the required overlap are linked. Large cells
+merged, its long ones are probed by binary search, and documents with the required overlap are linked. Large cells
 are dealt to slices, and only the documents outside a cell's largest component are searched for in all of them.
 """
 
@@ -18,6 +18,7 @@ from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +41,20 @@ class Shingler:
         """The sorted distinct 64-bit hashes of each text's shingles, as uint64."""
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
-        self.cache.update({w: xxhash.xxh3_64_intdigest(w) for w in new})
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.cache.__getitem__
-        flat = np.fromiter((h for words in split for h in map(get, words)), np.uint64, int(size.sum()))
+        whole = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+        flat_words = parts.flatten()
+        real = pc.binary_length(flat_words).to_numpy(zero_copy_only=False) > 0  # none at either end of a text
+        ends = np.r_[0, np.cumsum(real)][parts.offsets.to_numpy()]
+        coded = flat_words.filter(pa.array(real)).dictionary_encode()
+        known, get = coded.dictionary.view(pa.large_binary()).to_pylist(), self.cache.get
+        hashes = [get(w) for w in known]
+        for i, h in enumerate(hashes):
+            if h is None:
+                hashes[i] = self.cache[known[i]] = xxhash.xxh3_64_intdigest(known[i])
+        size = np.diff(ends)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat = np.array(hashes, np.uint64)[codes] if len(codes) else np.empty(0, np.uint64)
         n = self.words
         rolled = np.zeros(max(0, len(flat) - n + 1), np.uint64)
         for i in range(n if len(rolled) else 0):
@@ -54,10 +63,12 @@ class Shingler:
         rolled *= _MIX
         rolled ^= rolled >> np.uint64(29)
         found, at = [], 0
-        for words, length in zip(split, size.tolist()):
+        for length in size.tolist():
             if length >= n:
-                found.append(np.unique(rolled[at : at + length - n + 1]))
+                held = np.sort(rolled[at : at + length - n + 1])
+                found.append(held[np.r_[True, held[1:] != held[:-1]]])
             else:
+                words = [known[i] for i in codes[at : at + length].tolist()]
                 found.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=length)] if length else [], np.uint64))
             at += length
         return found
@@ -175,6 +186,24 @@ def heap_merge(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
                 heappush(heap, lists[i][at[i]] * k + i)
 
 
+#: Up to so many lists are merged by the heap, item by item in Python; more of them are merged as arrays, at a small part of the cost of an item.
+HEAP_LISTS = 4
+
+
+def merged(postings: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The items that ``least`` of the sorted lists ``postings[start:end]`` have, in order, and how many of the lists have each."""
+    if len(starts) <= HEAP_LISTS:
+        pairs = list(heap_merge([postings[a:b].tolist() for a, b in zip(starts.tolist(), ends.tolist())], least))
+        return np.array([x for x, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64)
+    sizes = ends - starts
+    items = np.sort(postings[np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)], kind="stable")
+    if least > len(items):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # An item has ``least`` lists if it is met again so many places later.
+    able = np.unique(items[: len(items) - least + 1][items[: len(items) - least + 1] == items[least - 1 :]]) if least > 1 else np.unique(items)
+    return able.astype(np.int64), np.searchsorted(items, able, "right") - np.searchsorted(items, able, "left")
+
+
 class CellIndex:
     """The inverted lists of some sets, and T-occurrence search over them."""
 
@@ -194,7 +223,7 @@ class CellIndex:
         """The sets that link with a sorted set, itself among them if it is there; only the first ``before`` sets, if given.
 
         DivideSkip: of the query's lists, the L longest are put aside; a set with T shingles in common is in T - L of the short lists at
-        least. The short lists are merged by a heap, and what is in enough of them is probed for in the long ones. L follows
+        least. The short lists are merged, and what is in enough of them is probed for in the long ones. L follows
         from T and the longest list's length.
         """
         size = len(query)
@@ -217,8 +246,7 @@ class CellIndex:
         longest = int((ends - starts)[order[-1]])
         aside = min(least - 1, int(least / (self.weight * math.log2(longest + 1) + 1)))
         short, long = order[: len(order) - aside], order[len(order) - aside :]
-        merged = list(heap_merge([self.postings[starts[i] : ends[i]].tolist() for i in short.tolist()], least - aside))
-        found, counts = np.array([x for x, _ in merged], np.int64), np.array([n for _, n in merged], np.int64)
+        found, counts = merged(self.postings, starts[short], ends[short], least - aside)
         # The overlap that the two sizes ask for.
         need = -(-self.percent * (size + self.sizes[found]) // (100 + self.percent))
         able = (need <= size) & (need <= self.sizes[found])
