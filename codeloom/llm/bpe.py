@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import ship, steps, text_or_empty
+from codeloom.llm.common import ship, sparing, steps, text_or_empty
 
 _NONE = np.int64(2**31 - 1)
 #: Separators for str.split() that the vocabulary's pattern for white space does not know.
@@ -43,7 +43,7 @@ _NEW_SMALL = {
 class WordBpe:
     """The encoder of a vocabulary file of kind BPE with word ends, lower case and no white space."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -71,7 +71,6 @@ class WordBpe:
         self.unknown = dict.fromkeys(map(ord, regex.findall(r"[\p{L}\p{N}\p{Z}]", later)), "\ue000")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
         self.cache_words = cache_words
 
     @staticmethod
@@ -179,9 +178,8 @@ class WordBpe:
         flat, sizes = self.merge_words(parts)
         word_ends = np.concatenate(([0], np.cumsum(sizes)))
         ends = word_ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        packed, names = flat.astype("<u4").tobytes(), self.names[flat].tolist()
+        packed = flat.astype("<u4").tobytes()
         self.ids.update({p: packed[4 * a : 4 * b] for p, a, b in zip(pieces, ends, ends[1:])})
-        self.decoded.update({p: " ".join(names[a:b]) for p, a, b in zip(pieces, ends, ends[1:])})
 
     def _split(self, plain: str) -> list[str]:
         """The pattern's words, with characters that its library does not know read as other characters."""
@@ -203,16 +201,15 @@ class WordBpe:
         """For each text its ids, packed as little-endian unsigned 32-bit integers, and what they decode to."""
         if len(self.ids) > self.cache_words:
             self.ids.clear()
-            self.decoded.clear()
         if not self.ids:
             for token, i in self.special.items():
-                self.ids[token], self.decoded[token] = np.array([i], "<u4").tobytes(), self.decode(np.array([i]))
+                self.ids[token] = np.array([i], "<u4").tobytes()
         split = [self.pieces(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.ids)
         if new:
             self._learn(list(new))
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(b"".join(map(ids, pieces)), " ".join(map(decoded, pieces))) for pieces in split]
+        packed = [b"".join(map(self.ids.__getitem__, pieces)) for pieces in split]
+        return [(p, self.decode(np.frombuffer(p, "<u4"))) for p in packed]
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -225,7 +222,7 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 4 << 20, more: Sequence[Column] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", step_bytes: int = 1 << 20, more: Sequence[Column] = ()) -> DataFrame:
     """(id, ids, decoded) of every row: ids packed as little-endian unsigned 32-bit integers, and the text that they decode to.
 
     Whole texts are encoded, without limit or padding; special tokens in a text become their ids.
@@ -244,5 +241,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     names = [f"_m{i}" for i in range(len(carried.columns))]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *[c.alias(n) for c, n in zip(more, names)])
     types = "".join(f", {n} {f.dataType.simpleString()}" for n, f in zip(names, carried.schema))
-    coded = rows.mapInArrow(run, "id long, ids binary, decoded string" + types)
+    coded = rows.mapInArrow(sparing(run), "id long, ids binary, decoded string" + types)
     return coded.withColumnsRenamed({"id": id_col, **dict(zip(names, carried.columns))})

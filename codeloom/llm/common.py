@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from codeloom.plans.ship import ship
 from codeloom.plans.tables import written as materialize
 
-__all__ = ["WORD_GAP", "join_split", "materialize", "may_be_in", "partitions", "ship", "steps", "table", "text_or_empty", "without"]
+__all__ = ["WORD_GAP", "join_split", "materialize", "may_be_in", "partitions", "ship", "small_batches", "sparing", "steps", "table", "text_or_empty", "without"]
 
 #: The separators between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]"
@@ -71,6 +73,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system: its allocators keep it, and idle workers count with the JVM as their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim is not None:
+        trim(0)
+
+
+def sparing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; its worker, which waits for more tasks, gives free memory back when the task ends."""
+
+    def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return spared
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What is planned within it hands its Python workers up to ``rows`` rows at once: a batch of long texts is held by the JVM and by the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    held = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(held, rows) if held > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, step_bytes: int = _STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``step_bytes`` of text."""
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_split, materialize, ship
+from codeloom.llm.common import join_split, materialize, ship, sparing
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +56,7 @@ def components(edges: DataFrame, tag: str = "components", edges_a_task: int = 25
 
     def contracted(rows: DataFrame) -> DataFrame:
         held = materialize(rows, tag)
-        return materialize(held.coalesce(max(1, -(-held.count() // edges_a_task))).mapInArrow(contract, "u long, v long"), tag)
+        return materialize(held.coalesce(max(1, -(-held.count() // edges_a_task))).mapInArrow(sparing(contract), "u long, v long"), tag)
 
     kept = contracted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while True:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_split, materialize, may_be_in, ship, steps, text_or_empty
+from codeloom.llm.common import join_split, materialize, may_be_in, ship, sparing, steps, text_or_empty
 from codeloom.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -33,28 +33,22 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 class Shingler:
     """Sets of n-gram hashes; words are runs of other than ASCII white space, A-Z lower-cased."""
 
-    def __init__(self, words: int, cache_words: int = 1_000_000):
-        self.words, self.cache_words = words, cache_words
-        self.cache: dict[bytes, int] = {}
+    def __init__(self, words: int):
+        self.words = words
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """The sorted distinct 64-bit hashes of each text's shingles, as uint64."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
         whole = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()).view(pa.large_string())
         parts = pc.ascii_split_whitespace(pc.ascii_lower(whole))
         flat_words = parts.flatten()
         real = pc.binary_length(flat_words).to_numpy(zero_copy_only=False) > 0  # none at either end of a text
         ends = np.r_[0, np.cumsum(real)][parts.offsets.to_numpy()]
         coded = flat_words.filter(pa.array(real)).dictionary_encode()
-        known, get = coded.dictionary.view(pa.large_binary()).to_pylist(), self.cache.get
-        hashes = [get(w) for w in known]
-        for i, h in enumerate(hashes):
-            if h is None:
-                hashes[i] = self.cache[known[i]] = xxhash.xxh3_64_intdigest(known[i])
+        known = coded.dictionary.view(pa.large_binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
         size = np.diff(ends)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        flat = np.array(hashes, np.uint64)[codes] if len(codes) else np.empty(0, np.uint64)
+        flat = hashes[codes] if len(codes) else np.empty(0, np.uint64)
         n = self.words
         rolled = np.zeros(max(0, len(flat) - n + 1), np.uint64)
         for i in range(n if len(rolled) else 0):
@@ -105,11 +99,14 @@ def hook_lists(batches: Iterator[pa.RecordBatch], short_list: int) -> Iterator[p
     def changes(*columns: np.ndarray) -> np.ndarray:
         return np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]
 
-    def summed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((v, u))
-        u, v = u[order], v[order]
-        first = np.flatnonzero(changes(u, v)) if len(u) else np.empty(0, np.int64)
-        return u[first], v[first], np.diff(np.r_[first, len(u)])
+    def summed(u: list[np.ndarray], v: list[np.ndarray], by_v: int) -> tuple[np.ndarray, ...]:
+        """(u, v, n) of the pairs of places in two sorted arrays, the second of ``by_v`` items; a pair is sorted as one number."""
+        packed = np.concatenate([x * by_v + y for x, y in zip(u, v)]) if u else np.empty(0, np.int64)
+        packed.sort()
+        first = np.flatnonzero(changes(packed)) if len(packed) else np.empty(0, np.int64)
+        n = np.diff(np.r_[first, len(packed)])
+        packed = packed[first]
+        return packed // by_v, packed % by_v, n
 
     def found(a: np.ndarray, s: np.ndarray, part: np.ndarray, hub: int | None) -> pa.RecordBatch:
         once = changes(s, part, a)  # copies that other tasks have read
@@ -121,19 +118,24 @@ def hook_lists(batches: Iterator[pa.RecordBatch], short_list: int) -> Iterator[p
         hubs = ((a[starts].view(np.uint64) + length.astype(np.uint64)) * _MIX).view(np.int64)
         if hub is not None:
             hubs[0] = hub
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        texts, place = np.unique(a, return_inverse=True)
+        ones: list[np.ndarray] = []
+        others: list[np.ndarray] = []
         for k in np.unique(length[~long]):
             if k > 1:
-                members = a[starts[~long & (length == k)][:, None] + np.arange(k)]
+                members = place[starts[~long & (length == k)][:, None] + np.arange(k)]
                 i, j = np.triu_indices(k, 1)
-                pairs.append((members[:, j].ravel(), members[:, i].ravel()))
-        none = np.empty(0, np.int64)
-        rows = [(summed(*(np.concatenate(x) for x in zip(*pairs))) if pairs else (none, none, none), PAIR)]
+                ones.append(members[:, j].ravel())
+                others.append(members[:, i].ravel())
+        u, v, n = summed(ones, others, len(texts))
+        rows = [((texts[u], texts[v], n), PAIR)]
         inside = np.repeat(long, length)
-        rows.append((summed(a[inside], np.repeat(hubs, length)[inside]), HOOK))
+        own_hubs, hub_place = np.unique(hubs, return_inverse=True)
+        u, v, n = summed([place[inside]], [np.repeat(hub_place, length)[inside]], len(own_hubs))
+        rows.append(((texts[u], own_hubs[v], n), HOOK))
         headed = part[starts] > 0
         rows.append(((s[starts][headed], hubs[headed], np.ones(int(headed.sum()), np.int64)), HEAD))
-        columns = [pa.array(np.concatenate([r[i] for r, _ in rows]).astype(np.int64)) for i in range(3)]
+        columns = [pa.array(np.concatenate([r[i] for r, _ in rows]).astype(np.int64, copy=False)) for i in range(3)]
         kinds = pa.array(np.concatenate([np.full(len(r[0]), kind, np.int32) for r, kind in rows]))
         return pa.RecordBatch.from_arrays([columns[0], columns[1], kinds, columns[2]], ["u", "v", "kind", "n"])
 
@@ -411,7 +413,7 @@ def jaccard_components(
     total = rows.count()
     share = min(1.0, order_docs / max(1, total))
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(1 << 53))
-    sampled = rows.where(draw < share).mapInArrow(lambda batches: whole_sets(batches, distinct=True), set_type)
+    sampled = rows.where(draw < share).mapInArrow(sparing(lambda batches: whole_sets(batches, distinct=True)), set_type)
     common = sampled.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= frequent).orderBy(F.desc("n"), "s").limit(order_shingles)
     ranked = sorted((np.int64(r["s"]).view(np.uint64), r["n"]) for r in common.collect())
     hot, hot_count = np.array([k for k, _ in ranked], np.uint64), np.array([n for _, n in ranked], np.int64)
@@ -445,12 +447,12 @@ def jaccard_components(
                 ["id", "a", "b", "n", "taken", "rare", "often"],
             )
 
-    marked = materialize(rows.mapInArrow(prefixes, "id long, a long, b long, n long, taken long, rare array<long>, often array<long>"), "join-marks")
+    marked = materialize(rows.mapInArrow(sparing(prefixes), "id long, a long, b long, n long, taken long, rare array<long>, often array<long>"), "join-marks")
     listed = marked.where("id IS NOT NULL").select("a", F.explode("rare").alias("s"), F.lit(0).alias("part")).union(
         marked.where("id IS NOT NULL").select("a", F.explode("often").alias("s"), (F.pmod("a", F.lit(64)) + 1).cast("int").alias("part"))
     )
     dealt = listed.repartition("s", "part").sortWithinPartitions("s", "part", "a")
-    hooks = materialize(dealt.mapInArrow(lambda batches: hook_lists(batches, short_list), "u long, v long, kind int, n long"), "join-hooks")
+    hooks = materialize(dealt.mapInArrow(sparing(lambda batches: hook_lists(batches, short_list)), "u long, v long, kind int, n long"), "join-hooks")
     groups = marked.where("id IS NOT NULL AND n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("taken").alias("taken"))
     # What any partner must share with a text below the cut; less than 1: one shared shingle of the prefix is all that can be asked for.
     sizes = groups.groupBy("a").agg(F.max("n").alias("n"), F.max("taken").alias("taken")).withColumn("least_shared", F.col("taken") - F.col("n") + F.ceil(F.col("n") * percent / 100))
@@ -494,12 +496,12 @@ def jaccard_components(
             part = part.take(pa.array(own, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cell", "slices", "parts", "pivot", "id", "wa", "wb")] + [lists([sets[i] for i in own])], ["cell", "slices", "parts", "pivot", "id", "a", "b", "shingles"])
 
-    found = may_be_in(rows, wanted, "id").join(wanted, "id").mapInArrow(wanted_sets, "cell long, slices int, parts int, pivot boolean, id long, a long, b long, shingles array<long>")
+    found = may_be_in(rows, wanted, "id").join(wanted, "id").mapInArrow(sparing(wanted_sets), "cell long, slices int, parts int, pivot boolean, id long, a long, b long, shingles array<long>")
     has_wide = wanted.where("slices > 1").limit(1).count() > 0
     if has_wide:
         found = materialize(found, "join-sets")
     dealt = found.where("slices = 1").repartition("cell").sortWithinPartitions("cell")
-    linked = materialize(dealt.mapInArrow(lambda batches: in_batches(link_groups(batches, percent), ["a", "b", "root"]), "a long, b long, root long"), "join-links")
+    linked = materialize(dealt.mapInArrow(sparing(lambda batches: in_batches(link_groups(batches, percent), ["a", "b", "root"])), "a long, b long, root long"), "join-links")
     if has_wide:
         linked = linked.union(_wide_cells(found.where("slices > 1"), percent, total))
     classes = groups.join(linked, ["a", "b"], "left").where("copies > 1 OR root IS NOT NULL").select("a", "b", F.coalesce("root", "least").alias("component"), "copies")
@@ -523,7 +525,7 @@ def _wide_cells(sets: DataFrame, percent: int, total: int) -> DataFrame:
         others = F.transform(F.filter(F.sequence(F.lit(0), slices - 1), lambda s: s != at), lambda s: F.struct(s.cast("int").alias("slice"), F.lit(ASKS).alias("role")))
         dealt = held.select("cell", "a", "root", "k", "shingles", F.explode(F.when(asks, F.concat(F.array(own), others)).otherwise(F.array(own))).alias("x"))
         dealt = dealt.select("cell", "x.slice", "x.role", "a", "root", "k", "shingles").repartition("cell", "slice").sortWithinPartitions("cell", "slice", "role", "a")
-        return dealt.mapInArrow(lambda batches: in_batches(link_slices(batches, percent, ranked), ["u", "v"]), "u long, v long")
+        return dealt.mapInArrow(sparing(lambda batches: in_batches(link_slices(batches, percent, ranked), ["u", "v"])), "u long, v long")
 
     first = materialize(searched(sets.withColumns({"root": F.col("a"), "k": F.lit(1).cast("long")}), F.col("slices"), F.col("pivot"), ranked=False), "join-pivots")
     stars = components(first, "join-stars").withColumnRenamed("node", "a")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, cotraining, exact_dedup, html_text, mixing, ngram_join, quality_rules, sharding, toxicity, url_rules
-from codeloom.llm.common import materialize, may_be_in, table, without
+from codeloom.llm.common import materialize, may_be_in, small_batches, table, without
 
 #: Weights of the mix, in two-hundredths: a tenth for src0, 4.5 % for each other listed source and for the rest.
 MIX_UNITS = {"src0": 20, **{f"src{i}": 9 for i in range(1, 20)}, mixing.OTHER: 9}
@@ -145,7 +145,8 @@ def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Files are read again in no set order, but each row knows its file and its place there: a stream's rows take their slots and seats in the order
     that the mixing stage gave them.
     """
-    coded = materialize(token_digests(docs, F.col("source"), *in_files(docs)), "pipeline-tokens")
+    with small_batches(spark):
+        coded = materialize(token_digests(docs, F.col("source"), *in_files(docs)), "pipeline-tokens")
     digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
     placed = mixing.mix(coded, MIX_UNITS, MIX_BLOCK_ROWS, keep=digests, order=("file", "row"))
     return placed.select("doc_id", *digests, "slot", "seat").orderBy("slot", "seat")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -529,3 +530,78 @@ def test_merged_arrays_count_as_the_heap(monkeypatch):
         got[lists] = [index.search(s).tolist() for s in sets[:60]]
         took[lists] = time.perf_counter() - at
     assert got[1_000_000] == got[lists] and any(len(x) > 1 for x in got[lists]) and took[lists] < took[1_000_000] / 2, took
+
+
+_IDLE = """
+import re
+
+import pyarrow as pa
+
+from codeloom.llm.common import sparing, steps
+from codeloom.llm.ngram_join import Shingler
+
+
+def held_mb():
+    return int(re.search(r"Pss_Anon:\\s+([0-9]+)", open("/proc/self/smaps_rollup").read()).group(1)) / 1024
+
+
+def run(batches):
+    shingler = kept[0]
+    for part in steps(batches, "text"):
+        yield len(shingler.sets(part.column("text").to_pylist()))
+
+
+kept = [Shingler(5)]
+list(sparing(run)(iter([pa.RecordBatch.from_arrays([pa.array(["a b c d e f"])], ["text"])])))
+before = held_mb()
+texts = [" ".join(f"{(i * 400 + k) * 2654435761 % 2**32:08x}" for k in range(400)) for i in range(4000)]
+list(sparing(run)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+del texts
+print(held_mb() - before)
+"""
+
+
+def test_shingling_leaves_no_memory_behind():
+    """Idle workers count as their executor's memory: 1.6 million words that differ must not stay in one."""
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", _IDLE], capture_output=True, text=True, timeout=300, check=True)
+    assert float(done.stdout) < 50
+
+
+def test_encoder_keeps_ids_alone(spark):
+    """What a cached word decodes to is not kept a second time, and a session's batch size comes back."""
+    import public_tokenizers
+
+    from codeloom.llm.common import small_batches
+
+    coder = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    coder.encode_batch(["some words of a text"])
+    assert [k for k, v in vars(coder).items() if isinstance(v, dict) and "words" in v] == ["ids"]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with small_batches(spark):
+        assert spark.conf.get(key) == "1000"
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "20")
+    with small_batches(spark):
+        assert spark.conf.get(key) == "20"
+    assert spark.conf.get(key) == "20"
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("short_list", [1, 3, 24])
+def test_hook_lists_count_pairs(short_list):
+    rnd = random.Random(8)
+    lists = {s: sorted(rnd.sample(range(-40, 40), rnd.choice([1, 2, 3, 5, 30]))) for s in (rnd.randrange(-(2**62), 2**62) for _ in range(300))}
+    rows = [(a, s, 0) for s in sorted(lists) for a in lists[s]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 97]), (pa.int64(), pa.int64(), pa.int32()))], ["a", "s", "part"]) for i in range(0, len(rows), 97)]
+    got = pa.Table.from_batches(list(ngram_join.hook_lists(iter(batches), short_list))).to_pylist()
+    pairs = Counter((b, a) for own in lists.values() if len(own) <= short_list for k, b in enumerate(own) for a in own[:k])
+    assert Counter({(r["u"], r["v"]): r["n"] for r in got if r["kind"] == ngram_join.PAIR}) == pairs
+    assert all(r["n"] > 0 for r in got)
+    hooked = Counter()
+    for r in got:
+        if r["kind"] == ngram_join.HOOK:
+            hooked[r["u"]] += r["n"]
+    assert hooked == Counter(a for own in lists.values() if len(own) > short_list for a in own)
