@@ -233,3 +233,44 @@ def test_reach_of_many_starts(spark, monkeypatch):
         assert len(got) == len(want) and {(r.start, r.node): r.depth for r in got} == {k: v[0] for k, v in want.items()}
         above = plain._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
         assert "Exchange" not in above and "Join" not in above and "Aggregate" not in above
+
+
+def test_reach_by_number(spark, monkeypatch):
+    """The same as ``reach`` without places, for few starts, for groups and for groups put together; a null and what has no label count nowhere."""
+    rnd = random.Random(6)
+    pairs = [(rnd.randrange(0, 60, 2), rnd.randrange(0, 60, 2)) for _ in range(90)] + [(0, 61), (61, 4), (2, None), (None, 2), (99, 0)]
+    numbered = spark.createDataFrame(pairs, "src long, dst long").cache()
+    labels = spark.createDataFrame([(i, f"n{i:02}") for i in range(0, 60, 2)] + [(4000, None), (None, "none")], "id long, label string")
+    begun = spark.createDataFrame([(i,) for i in [*range(0, 40, 2), 0, None, 61]], "start long")
+    known = [(f"n{a:02}", f"n{b:02}", "/f", 1, 0, i) for i, (a, b) in enumerate(pairs) if a in range(0, 60, 2) and b in range(0, 60, 2)]
+    edges = spark.createDataFrame(known, "src string, dst string, file string, line long, file_ord long, edge_ord long")
+    for depth in (1, 3):
+        want = sorted(map(tuple, traverse.reach(edges, spark.createDataFrame([(f"n{i:02}",) for i in range(0, 40, 2)], "start string"), depth, places=False).select("start", "node", "depth").collect()))
+        for few, size, copies in ((1000, 1000, 6), (2, 3, 100), (2, 3, 1)):
+            monkeypatch.setattr(traverse, "FEW_STARTS", few)
+            monkeypatch.setattr(traverse, "STARTS_A_GROUP", size)
+            monkeypatch.setattr(traverse, "COPIES_OF_EDGES", copies)
+            got = traverse.reach_numbered(numbered, begun, depth, labels).select("start", "node", "depth")
+            assert want and sorted(map(tuple, got.collect())) == want
+            above = got._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
+            assert "Exchange" not in above and "Join" not in above and "Aggregate" not in above
+
+
+@pytest.mark.parametrize("name", ["callees_d3"])
+def test_deep_walks_shuffle_little(spark, name):
+    """Calls go through shuffles as numbers: on sf0.01 all shuffles together write less than 4 times the input."""
+    import os
+
+    import __spark_entry__
+
+    data = "/root/testdata/sf0.01"
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        held = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(held.apply(k).totalShuffleWrite() for k in range(held.size()))
+
+    before = shuffled()
+    __spark_entry__.queries()[name](spark, data).write.format("noop").mode("overwrite").save()
+    took, given = shuffled() - before, sum(os.path.getsize(f"{data}/{t}.parquet") for t in ("part", "lineitem"))
+    assert 0 < took < 4 * given, (took, given)
