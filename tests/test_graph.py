@@ -256,7 +256,7 @@ def test_reach_by_number(spark, monkeypatch):
             assert "Exchange" not in above and "Join" not in above and "Aggregate" not in above
 
 
-@pytest.mark.parametrize("name", ["callees_d3"])
+@pytest.mark.parametrize("name", ["callees_d3", "callers_d3"])
 def test_deep_walks_shuffle_little(spark, name):
     """Calls go through shuffles as numbers: on sf0.01 all shuffles together write less than 4 times the input."""
     import os
@@ -274,3 +274,22 @@ def test_deep_walks_shuffle_little(spark, name):
     __spark_entry__.queries()[name](spark, data).write.format("noop").mode("overwrite").save()
     took, given = shuffled() - before, sum(os.path.getsize(f"{data}/{t}.parquet") for t in ("part", "lineitem"))
     assert 0 < took < 4 * given, (took, given)
+
+
+def test_written_table_frees_its_shuffles(spark):
+    """With ``frees`` no shuffle file of the write is left when it ends, and the session's setting is as before."""
+    import time
+
+    from codeloom.plans import tables
+
+    def held():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for k in range(found.size()) if (n := found.apply(k).getName()).startswith("shuffle_")}
+
+    before, setting = held(), spark.conf.get(tables._FREES, None)
+    made = tables.written(spark.range(9_000).selectExpr("id % 7 AS k").repartition("k").groupBy("k").count(), "freed", frees=True)
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(tables._FREES, None) == setting
+    assert made.count() == 7
